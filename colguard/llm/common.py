@@ -83,7 +83,8 @@ def union_all(tables: list[DataFrame]) -> DataFrame:
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = 24 << 20):
-    """Parts of a record batch with at most about `most` bytes in a column (one row at least)."""
+    """Parts of a record batch with at most about `most` bytes in a column (one row at least), copied: pyarrow's
+    ascii_lower goes wrong on arrays that begin inside their buffers."""
     arr = batch.column(batch.schema.get_field_index(column))
     size = np.asarray(pc.fill_null(pc.binary_length(arr), 0), dtype=np.int64)
     if size.sum() <= most:
@@ -92,10 +93,10 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 24 << 20):
     at, total = 0, 0
     for i, n in enumerate(size.tolist()):
         if i > at and total + n > most:
-            yield batch.slice(at, i - at)
+            yield batch.take(pa.array(range(at, i)))
             at, total = i, 0
         total += n
-    yield batch.slice(at)
+    yield batch.take(pa.array(range(at, len(batch))))
 
 
 class Words:
@@ -103,6 +104,8 @@ class Words:
 
     def __init__(self, texts: pa.Array, lower: bool):
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if texts.offset:
+            texts = texts.take(pa.array(range(len(texts))))
         if lower:
             texts = pc.ascii_lower(texts)
         lists = pc.ascii_split_whitespace(texts)

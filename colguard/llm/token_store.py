@@ -21,11 +21,13 @@ across it, so the ids of a text are those of its words in order (tests hold this
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,13 +37,35 @@ WINDOW, MASK, LEAST, MOST = 8, 0xFF, 64, 1024
 _CACHE: dict = {}
 
 
+#: Words of these characters alone need no normalizing but lower case, and their pieces need no pattern but _PIECE:
+#: printable ASCII without the apostrophe, and the Latin letters up to U+017F whose lower case is one character.
+_PLAIN = re.compile("[!-&(-~\u00c0-\u012f\u0131-\u017f]+")
+_PIECE = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+
+
 class Encoder:
-    """Encodes batches of texts; keeps the ids of words seen, at most `keep` of them."""
+    """Encodes batches of texts; keeps the ids of words seen, at most about `keep` of them.
 
-    def __init__(self, path: str, keep: int = 300_000):
-        from tokenizers import Tokenizer
+    Plain words are cut into the vocabulary's pieces (runs of letters, single digits, runs of the rest) here and the
+    library's model encodes each piece once; every other word goes through the whole tokenizer.
+    """
 
-        self.tok, self.keep, self.known = Tokenizer.from_file(path), keep, {}
+    def __init__(self, path: str, keep: int = 300_000):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tok, self.keep = Tokenizer.from_file(path), keep
+        blanks = pre_tokenizers.WhitespaceSplit()
+        self.ascii, self.wide = Tokenizer(self.tok.model), Tokenizer(self.tok.model)
+        self.ascii.pre_tokenizer = blanks
+        self.wide.pre_tokenizer = pre_tokenizers.Sequence([blanks, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.last = np.zeros(self.tok.get_vocab_size() + 1, bool)  # ids that end a piece
+        self.last[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.pieces: dict[str, bytes] = {}
+        self.words = pa.array([], pa.large_string())
+        self.at, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -49,23 +73,52 @@ class Encoder:
             _CACHE[path] = cls(path)
         return _CACHE[path]
 
-    def _word_ids(self, words: list[str]) -> list[list[int]]:
-        if len(self.known) > self.keep:
-            self.known.clear()
-        known = self.known
-        new = [w for w in words if w not in known]
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            known.update(zip(part, (e.ids for e in self.tok.encode_batch_fast(part, add_special_tokens=False)), strict=True))
-        return [known[w] for w in words]
+    def _learn_pieces(self, new: list[str], tok) -> None:
+        for at in range(0, len(new), 1 << 16):
+            part = new[at : at + (1 << 16)]
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in tok.encode_batch_fast([" ".join(part[i : i + 512]) for i in range(0, len(part), 512)], add_special_tokens=False)])
+            ends = np.flatnonzero(self.last[ids]) + 1
+            raw, s = ids.tobytes(), 0
+            for piece, e in zip(part, (4 * ends).tolist(), strict=True):
+                self.pieces[piece] = raw[s:e]
+                s = e
+
+    def _learn(self, words: list[str]) -> list[bytes]:
+        plain, cut, held = _PLAIN.fullmatch, _PIECE.findall, self.pieces
+        cuts = [cut(w.lower()) if plain(w) and "<|" not in w else None for w in words]
+        new = list({p for ps in cuts if ps for p in ps if p not in held})
+        self._learn_pieces([p for p in new if p.isascii()], self.ascii)
+        self._learn_pieces([p for p in new if not p.isascii()], self.wide)
+        other = self.tok.encode_batch_fast([w for w, ps in zip(words, cuts, strict=True) if ps is None], add_special_tokens=False)
+        whole = iter([np.array(e.ids, np.uint32).tobytes() for e in other])
+        return [next(whole) if ps is None else held[ps[0]] if len(ps) == 1 else b"".join([held[p] for p in ps]) for ps in cuts]
+
+    def _known(self, uniq: pa.Array) -> np.ndarray:
+        """Places of the words in self.at, after learning those that are new."""
+        uniq = uniq.cast(pa.large_string())
+        if len(self.words) > self.keep:
+            self._forget()
+        if len(self.pieces) > self.keep // 3:  # Python objects, several times as large
+            self.pieces = {}
+        place = pc.index_in(uniq, value_set=self.words)
+        new = uniq.filter(pc.is_null(place))
+        if len(new):
+            ids = self._learn(new.to_pylist())
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            place = np.asarray(pc.fill_null(place, -1)).astype(np.int64)
+            place[place < 0] = len(self.words) + np.arange(len(new))
+            self.words = pa.concat_arrays([self.words, new])
+            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), np.uint32)])
+        return np.asarray(place).astype(np.int64)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end`, and the offsets of the texts."""
-        words = Words(texts, lower=False)
-        each = self._word_ids(words.uniq.to_pylist())
-        size = np.fromiter(map(len, each), np.int64, len(each))
-        flat = np.fromiter((i for e in each for i in e), np.uint32, int(size.sum()))
-        first = np.concatenate([[0], np.cumsum(size)])
+        # special tokens are told by case, so a text that may hold one is not lower-cased ahead
+        words = Words(texts, lower=not pc.any(pc.match_substring(texts, "<|")).as_py())
+        place = self._known(words.uniq)
+        first = self.at[place]
+        size, flat = self.at[place + 1] - first, self.ids
         n = size[words.ids]
         done = np.concatenate([[0], np.cumsum(n)])
         starts = done[words.start] + np.arange(len(words.start))
@@ -128,7 +181,7 @@ def _stage(vocab: str, end: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = Encoder.of(vocab), set()
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", 4 << 20):
                 ids, start = enc.encode(b.column("text"), end)
                 raw = ids.astype(kind).tobytes()
                 roots, lists, data = [], [], []

@@ -459,3 +459,18 @@ def test_pipeline(spark):
     last = cp.STAGES[-1][1](spark, docs, SF)
     assert sorted(r["doc_id"] for r in last.collect()) == sorted(r["doc_id"] for r in docs.collect())
     assert collections.Counter(r["doc_id"] for r in cp.run(spark, SF).select(F.col("doc_id")).collect()) == collections.Counter(r["doc_id"] for r in last.collect())
+
+
+def test_words_of_slices():
+    import pyarrow as pa
+
+    from colguard.llm.common import Words, slices
+
+    texts = ["Été AB  c\n", None, "", " x Y", "Ñandú B\x0bC"] * 7
+    batch = pa.record_batch([pa.array(texts)], names=["text"])
+    parts = [p.column("text") for p in slices(batch, "text", 20)]
+    assert len(parts) > 3 and [t for p in parts for t in p.to_pylist()] == texts
+    for p in [*parts, batch.column("text").slice(3, 9)]:
+        w = Words(p, lower=True)
+        u = [x.encode() for x in w.uniq.to_pylist()]
+        assert [[u[i] for i in w.ids[s:e]] for s, e in zip(w.start[:-1], w.start[1:], strict=True)] == [(t or "").encode().lower().split() for t in p.to_pylist()]
