@@ -52,7 +52,8 @@ def without_boilerplate(docs: DataFrame, lines: DataFrame, scratch: Scratch, lea
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     held = rows.select("doc_id", F.explode(F.array_distinct(_keys(F.col("text"), least_chars))).alias("line")).where("line IS NOT NULL AND doc_id IS NOT NULL")
     bad = held.join(lines.select("line"), "line", "left_semi").groupBy("doc_id").agg(F.collect_set("line").alias("__bad"))  # lines of one document
-    out = rows.join(scratch.put(bad, "bad"), "doc_id", "left")
+    # a merge join at every size: the number of documents with boilerplate has no bound
+    out = rows.join(scratch.put(bad, "bad").hint("merge"), "doc_id", "left")
     kept = F.filter(F.arrays_zip(F.split("text", "\n", -1).alias("t"), _keys(F.col("text"), least_chars).alias("k")), lambda x: x["k"].isNull() | ~F.array_contains(F.col("__bad"), x["k"]))
     n = F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0))
     return out.select(
