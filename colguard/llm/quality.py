@@ -195,7 +195,7 @@ def train(texts: pa.Array, labels: np.ndarray, steps: int = 120, decay: float =
     return field
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Field:
     """docs (doc_id, text), labels (doc_id, quality); both already without held-out rows."""
     named = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
     # the smallest hashes first, on ids alone, so that texts are read for `sample` rows only
