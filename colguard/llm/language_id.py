@@ -208,7 +208,7 @@ def fit(docs: DataFrame, grams: int = 1 << 20, calibrate: int = 4096, quantile:
         by_lang[x] = gram[on][o], n[on][o].astype(np.float64)
     model = Model(by_lang)
     h = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(5)), 11)
-    some = rows.where(h < int(2 * calibrate / max(1, rows.count()) * (1 << 53)))  # about twice the sample, so that few texts are sorted
+    some = rows.where(h < int(min(1, 2 * calibrate / max(1, rows.count())) * (1 << 53)))  # about twice the sample, so that few texts are sorted
     sample = some.select("text", h.alias("h")).orderBy("h").limit(calibrate).select("text")
     margins = sample.mapInArrow(_margins(model), "margin double").toArrow().column("margin").to_numpy()
     margins = margins[np.isfinite(margins)]
