@@ -12,7 +12,9 @@ positions of the walk are drawn; windows that agree in one draw are candidates.
 every word, except where fewer than half of its pairs of neighbouring words are pairs of any item (a bit table; a
 wrong hit only costs time): an edited word spoils two pairs, so a window with a quarter of its words edited stays.
 The walk is the same for all widths, so each start walks once. Tests hold the recall for edited passages at 0.95.
-Verification: bit-parallel edit distance of the whole item against the document's words around the window.
+Verification: candidates whose surroundings hold too few of the item's runs of GRAM characters for any stretch within
+the distance go (no match is lost); for the others, bit-parallel edit distance of the whole item against the document's
+words around the window.
 
 Items are taken in blocks of at most BLOCK_BYTES of text (on average, dealt by hash), each block's index is sent to
 the executors, and all documents meet every block; one block is the usual case.
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 from colguard.llm.common import Words, hash_words, mix64, odd_constants, slices, union_all
 
 TABLES, SAMPLES, LEAST_WORDS, BLOCK_BYTES = 16, 3, 5, 8 << 20
+GRAM, SLICE_BYTES = 6, 8 << 20
 _PAIR_BITS = 22
 
 
@@ -50,6 +53,18 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return (x >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)
 
 
+def _grams(text: str) -> np.ndarray:
+    """16-bit hashes of the text's runs of GRAM characters."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    h = np.zeros(max(0, len(c) - GRAM + 1), np.uint32)
+    with np.errstate(over="ignore"):
+        for j in range(GRAM):
+            h = h * np.uint32(0x9E3779B1) + c[j : j + len(h)]
+        h ^= h >> np.uint32(15)
+        h *= np.uint32(0x85EBCA6B)
+    return (h >> np.uint32(16)).astype(np.uint16)
+
+
 def walk(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int) -> np.ndarray:
     """[start, step]: words (hashes) that the CGK walk gives out; past `ends` a fixed pad."""
     rnd = odd_constants(steps, 31)
@@ -174,20 +189,64 @@ class Index:
                     cand.update((int(doc[s]), x, s - a) for x, a in zip(number[lo[r, t] : hi[r, t]].tolist(), ahead[lo[r, t] : hi[r, t]].tolist(), strict=True))
         return self._verify(words, sorted(cand))
 
+    def _near(self, text: str, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which stretches of words [lo, hi) may hold their item: k edits spoil at most k * GRAM of an item's
+        runs of GRAM characters, so the rest must stand in some stretch as long as the item and k more, and each
+        of them as often as the item has it."""
+        grams = _grams(text)
+        first, n = at[lo], np.maximum(at[hi] - GRAM - at[lo], 0)  # at[hi] is behind a blank
+        keep = np.ones(len(item), bool)
+        table = np.zeros(1 << 16, bool)
+        order = np.argsort(item, kind="stable")
+        for group in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
+            _, wanted, _, most = self.items[item[group[0]]]
+            least = len(wanted) - GRAM + 1 - most * GRAM
+            if least <= 0:
+                continue
+            own, span = _grams(wanted), len(wanted) + most - GRAM + 1
+            table[own] = True
+            often = np.bincount(own, minlength=1 << 16)
+            parts = np.split(group, np.flatnonzero(np.diff(np.cumsum(n[group]) >> 22)) + 1)  # about 4 million places each
+            for part in parts:
+                k = n[part]
+                stop = np.cumsum(k)
+                start = stop - k
+                seen = grams[np.arange(stop[-1]) + np.repeat(first[part] - start, k)]
+                hit = table[seen]
+                hits = np.concatenate([[0], np.cumsum(hit)])
+                found = hits[np.minimum(np.arange(stop[-1]) + span, np.repeat(stop, k))] - hits[:-1]
+                some = k > 0
+                keep[part] = False
+                if some.any():
+                    keep[part[some]] = np.maximum.reduceat(found, start[some]) >= least
+                hit &= np.repeat(keep[part], k)
+                pair, times = np.unique(np.repeat(np.arange(len(part)), k)[hit] << 16 | seen[hit], return_counts=True)
+                keep[part] &= np.bincount(pair >> 16, np.minimum(times, often[pair & 0xFFFF]), len(part)) >= least
+            table[own] = False
+        return keep
+
     def _verify(self, words: Words, cand: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-        uniq, best = {}, {}
-        for d, x, s in cand:
+        if not cand:
+            return []
+        doc, item, s = np.array(cand, np.int64).T
+        n = np.array([x[2] for x in self.items], np.int64)[item]
+        lo, hi = np.maximum(words.start[doc], s - 3 - n // 8), np.minimum(words.start[doc + 1], s + n + 3 + n // 8)
+        uniq = words.uniq.to_pylist()
+        text = " ".join([uniq[w] for w in words.ids.tolist()])
+        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, uniq), np.int64, len(uniq))[words.ids] + 1)])
+        near = np.flatnonzero(self._near(text, at, lo, hi, item))
+        best: dict[tuple[int, int], tuple[int, int]] = {}
+        known: dict[tuple[int, str], int | None] = {}  # copies, and windows beside each other, ask the same again
+        for d, x, begin, a, b in zip(*(v[near].tolist() for v in (doc, item, s, at[lo], at[hi] - 1)), strict=True):
             if best.get((d, x), (1, 0))[0] == 0:
                 continue
-            _, text, n, most = self.items[x]
-            lo, hi = max(int(words.start[d]), s - 3 - n // 8), min(int(words.start[d + 1]), s + n + 3 + n // 8)
-            part = words.ids[lo:hi].tolist()
-            for w in part:
-                if w not in uniq:
-                    uniq[w] = words.uniq[w].as_py()
-            found = edit_distance_within(text, " ".join(uniq[w] for w in part), most)
+            _, wanted, _, most = self.items[x]
+            asked = x, text[a:b]
+            if asked not in known:
+                known[asked] = edit_distance_within(wanted, asked[1], most)
+            found = known[asked]
             if found is not None and found < best.get((d, x), (most + 1, 0))[0]:
-                best[d, x] = (found, max(0, s - int(words.start[d])))
+                best[d, x] = (found, max(0, begin - int(words.start[d])))
         return [(d, x, dist, s) for (d, x), (dist, s) in sorted(best.items())]
 
 
@@ -211,7 +270,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.1) -> DataFram
         def run(batches):
             index = held.value
             for whole in batches:
-                for b in slices(whole, "text"):
+                for b in slices(whole, "text", SLICE_BYTES):
                     got = index.search(b.column("text"))
                     yield pa.record_batch([
                         b.column("doc_id").take(pa.array([g[0] for g in got], pa.int64())), pa.array([index.items[g[1]][0] for g in got]).cast(item_type),
@@ -233,7 +292,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.1) -> DataFram
     def without(held):
         def run(batches):
             for whole in batches:
-                for b in slices(whole, "text"):
+                for b in slices(whole, "text", SLICE_BYTES):
                     keep = np.ones(len(b), bool)
                     keep[[g[0] for g in held.value.search(b.column(b.schema.get_field_index("text")))]] = False
                     yield b.filter(pa.array(keep))
