@@ -215,13 +215,13 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     members = scratch.put(bands.join(shared.select("bucket", "pivot"), "bucket"), "members")
     scratch.drop(bands)
     asked = members.select("node").distinct()
-    sets = scratch.put(rows.join(asked, rows["doc_id"] == asked["node"], "left_semi").mapInArrow(_sets, "doc_id long, hashes binary"), "sets")
+    sets = scratch.put(rows.join(asked.hint("merge"), rows["doc_id"] == asked["node"], "left_semi").mapInArrow(_sets, "doc_id long, hashes binary"), "sets")
     sets = sets.select(F.col("doc_id").alias("node"), "hashes")
     mine = nodes.select("node", "n", "sig")
 
     first = members.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot"))
-    pairs = first.join(sets.withColumnRenamed("hashes", "hb"), "node").withColumnRenamed("node", "b")
-    pairs = pairs.join(sets.select(F.col("node").alias("pivot"), F.col("hashes").alias("ha")), "pivot").withColumnRenamed("pivot", "a")
+    pairs = first.join(sets.withColumnRenamed("hashes", "hb").hint("merge"), "node").withColumnRenamed("node", "b")
+    pairs = pairs.join(sets.select(F.col("node").alias("pivot"), F.col("hashes").alias("ha")).hint("merge"), "pivot").withColumnRenamed("pivot", "a")
     edges = scratch.put(pairs.select("a", "b", "ha", "hb").mapInArrow(_confirm(percent), "a long, b long"), "edges")
     found = scratch.put(components(edges, scratch, "first"), "labels")
 
@@ -232,7 +232,7 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     # block i meets blocks i, i + 1, ...: a row for each meeting, with the number of the other block
     met = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("bucket", "node", "label", F.col("block").alias("side"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    met = met.join(mine, "node").join(sets, "node")
+    met = met.join(mine.hint("merge"), "node").join(sets.hint("merge"), "node")
     more = met.groupBy("bucket", "i", "j").applyInArrow(_block_edges(percent, floor), "a long, b long")
     more = scratch.put(more.distinct(), "more")
     final = scratch.put(components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), scratch, "last"), "components")
