@@ -9,9 +9,10 @@ registers by chance, estimates the similarity; pairs far below the threshold go
 confirmed on the full sets.
 
 Skew: documents with equal sets are one node. In a bucket each node is compared with the bucket's smallest one
-(linear). Buckets whose nodes are then still in more than one component are dealt into blocks of BLOCK nodes, and
-pairs of blocks are compared in tasks of bounded size; a task keeps a union-find and gives only edges that join
-components, fewer than its nodes. So no link between components is lost and pairs are never written out.
+(linear). In buckets whose nodes are then still in more than one component, the nodes outside the bucket's most
+frequent component and those inside it are dealt into blocks of BLOCK nodes; each block of outside nodes meets every
+block in a task of bounded size (inside nodes are joined already); a task keeps a union-find and gives only edges that
+join components, fewer than its nodes. So no link between components is lost and pairs are never written out.
 Components come from alternating star steps in Spark.
 
 Cases: null, empty or blank text: n_shingles 0, own component; fewer than five words: one shingle of all words;
@@ -226,11 +227,17 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     found = scratch.put(components(edges, scratch, "first"), "labels")
 
     label = members.join(found, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
-    open_ = label.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("c")).where("lo <> hi")
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    inside = label.join(open_.select("bucket", blocks.alias("blocks")), "bucket").withColumn("block", F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int"))
-    # block i meets blocks i, i + 1, ...: a row for each meeting, with the number of the other block
-    met = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # in a bucket only the nodes outside its most frequent component meet the others, in blocks; those inside are joined
+    sizes = label.groupBy("bucket", "label").agg(F.count("*").alias("c"))
+    open_ = sizes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("labels")).where("labels > 1")
+    count = lambda c: F.ceil(c / BLOCK).cast("int")
+    open_ = open_.select("bucket", F.col("top.label").alias("major"), count(F.col("c") - F.col("top.c")).alias("minors"), count(F.col("top.c")).alias("majors"))
+    inside = label.join(open_, "bucket").withColumn("minor", F.col("label") != F.col("major"))
+    # blocks 0 to minors - 1 hold the nodes outside, those from `minors` on the nodes inside
+    block = F.when(F.col("minor"), F.pmod(F.xxhash64("node", F.lit(5)), F.col("minors"))).otherwise(F.col("minors") + F.pmod(F.xxhash64("node", F.lit(5)), F.col("majors")))
+    inside = inside.withColumn("block", block.cast("int"))
+    # a row for each meeting, with the number of the other block
+    met = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("minor"), F.col("minors") + F.col("majors")).otherwise(F.col("minors")) - 1)))
     met = met.select("bucket", "node", "label", F.col("block").alias("side"), F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     met = met.join(mine.hint("merge"), "node").join(sets.hint("merge"), "node")
     more = met.groupBy("bucket", "i", "j").applyInArrow(_block_edges(percent, floor), "a long, b long")
