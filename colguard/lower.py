@@ -176,15 +176,21 @@ def _test(of: str, c: Check, v: Column, opt: Options, path: list[Column]) -> lis
 _REWRITES = {"trim": lambda v: F.regexp_replace(v, rf"^{regexes.SPACE}+|{regexes.SPACE}+\z", ""), "lower": F.lower, "upper": F.upper}
 
 
-def _checked(of: str, node: Node, checks: tuple[Check, ...], opt: Options, path: list[Column]) -> Node:
+#: Leaves whose ok is false wherever their value is null, and checks that are null on a null value only: there ok needs
+#: no coalesce, which would keep the check from the scan.
+_LEAVES, _PLAIN = ("string", "number", "bigint", "date"), ("min", "max", "length", "regex", "includes", "starts_with", "ends_with")
+
+
+def _checked(of: str, node: Node, checks: tuple[Check, ...], opt: Options, path: list[Column], variant: bool) -> Node:
     """Checks run in order on the value; a failed check leaves the value in place (dirty), an aborting one ends the rest."""
     v, ok, dirty, aborted, said = node.value, node.ok, node.dirty, node.aborted, []
+    bare = of in _LEAVES and not variant
     go = ~node.aborted
     for c in checks:
         if c.kind in _REWRITES or c.kind == "overwrite":
             new = _REWRITES[c.kind](v) if c.kind in _REWRITES else c.args["f"](v)
             dirty = both(dirty, F.coalesce(~new.eqNullSafe(v), F.lit(False)))
-            v = new
+            v, bare = new, bare and c.kind != "overwrite"
             continue
         if c.kind == "super_refine":
             found = c.args["f"](v)
@@ -197,9 +203,9 @@ def _checked(of: str, node: Node, checks: tuple[Check, ...], opt: Options, path:
         else:
             parts, many = _test(of, c, v, opt, path), False
         for good, issue_of in parts:
-            good = F.coalesce(good, F.lit(False))
+            plain, good = good, F.coalesce(good, F.lit(False))
             run = go if c.when is None else go & F.coalesce(c.when(v), F.lit(False))
-            ok = ok & (good if c.when is None else ~F.coalesce(c.when(v), F.lit(False)) | good)
+            ok = ok & (plain if bare and c.when is None and c.kind in _PLAIN else good if c.when is None else ~F.coalesce(c.when(v), F.lit(False)) | good)
             said.append((run & ~good, issue_of, many))
             if c.abort:
                 aborted = aborted | ~good
@@ -258,7 +264,7 @@ def lower(s: Schema, i: In, path: list[Column]) -> Node:
     if s.args.get("coerce"):
         i = _coerce(s.kind, i)
     node = made(s, i, path)
-    return _checked(_OF.get(s.kind, s.kind), node, s.checks, i.opt, path) if s.checks else node
+    return _checked(_OF.get(s.kind, s.kind), node, s.checks, i.opt, path, i.variant) if s.checks else node
 
 
 _OF = {"tuple": "array", "record": "map", "any": "any"}
