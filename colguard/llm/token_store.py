@@ -14,14 +14,13 @@ its recipes.
 Cases: an empty or null text is one chunk with the end id; equal texts share one root; repeated rows each have
 a recipe; an empty table gives empty files; other columns are not read.
 
-Words are encoded once for each batch: the vocabulary's pre-tokenizer drops white space and never joins
+Words are encoded once while cached: the vocabulary's pre-tokenizer drops white space and never joins
 across it, so the ids of a text are those of its words in order (tests hold this against whole texts).
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -39,15 +38,40 @@ _CACHE: dict = {}
 
 #: Words of these characters alone need no normalizing but lower case, and their pieces need no pattern but _PIECE:
 #: printable ASCII without the apostrophe, and the Latin letters up to U+017F whose lower case is one character.
-_PLAIN = re.compile("[!-&(-~\u00c0-\u012f\u0131-\u017f]+")
-_PIECE = re.compile("[a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+")
+_PLAIN = "^[!-&(-~\u00c0-\u012f\u0131-\u017f]+$"
+_PIECE = "([a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+)"
+
+
+class Ids:
+    """Strings and the ids of each, in Arrow and numpy: string i has ids[at[i]:at[i + 1]]."""
+
+    def __init__(self):
+        self.keys = pa.array([], pa.large_string())
+        self.at, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def places(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Where the keys stand (-1: not here), and the positions of those that are not here."""
+        place = np.array(pc.fill_null(pc.index_in(keys, value_set=self.keys), -1), np.int64)
+        return place, np.flatnonzero(place < 0)
+
+    def add(self, keys: pa.Array, size: np.ndarray, ids: np.ndarray) -> None:
+        self.keys = pa.concat_arrays([self.keys, keys])
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size, dtype=np.int64)])
+        self.ids = np.concatenate([self.ids, ids.astype(np.uint32, copy=False)])
+
+    def joined(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each of the places has, and all of them in a row."""
+        first = self.at[place]
+        n = self.at[place + 1] - first
+        done = np.concatenate([[0], np.cumsum(n)])
+        return n, self.ids[np.repeat(first - done[:-1], n) + np.arange(done[-1])]
 
 
 class Encoder:
-    """Encodes batches of texts; keeps the ids of words seen, at most about `keep` of them.
+    """Encodes batches of texts; keeps the ids of words and pieces seen, at most about `keep` of each.
 
-    Plain words are cut into the vocabulary's pieces (runs of letters, single digits, runs of the rest) here and the
-    library's model encodes each piece once; every other word goes through the whole tokenizer.
+    Plain words are cut into the vocabulary's pieces (runs of letters, single digits, runs of the rest) here, all words
+    of a batch at once, and the library's model encodes each piece once; every other word goes through the whole tokenizer.
     """
 
     def __init__(self, path: str, keep: int = 300_000):
@@ -60,12 +84,7 @@ class Encoder:
         self.wide.pre_tokenizer = pre_tokenizers.Sequence([blanks, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last = np.zeros(self.tok.get_vocab_size() + 1, bool)  # ids that end a piece
         self.last[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.pieces: dict[str, bytes] = {}
-        self.words = pa.array([], pa.large_string())
-        self.at, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+        self.words, self.pieces = Ids(), Ids()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -73,52 +92,58 @@ class Encoder:
             _CACHE[path] = cls(path)
         return _CACHE[path]
 
-    def _learn_pieces(self, new: list[str], tok) -> None:
+    def _learn_pieces(self, new: pa.Array, tok) -> None:
         for at in range(0, len(new), 1 << 16):
-            part = new[at : at + (1 << 16)]
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in tok.encode_batch_fast([" ".join(part[i : i + 512]) for i in range(0, len(part), 512)], add_special_tokens=False)])
-            ends = np.flatnonzero(self.last[ids]) + 1
-            raw, s = ids.tobytes(), 0
-            for piece, e in zip(part, (4 * ends).tolist(), strict=True):
-                self.pieces[piece] = raw[s:e]
-                s = e
-
-    def _learn(self, words: list[str]) -> list[bytes]:
-        plain, cut, held = _PLAIN.fullmatch, _PIECE.findall, self.pieces
-        cuts = [cut(w.lower()) if plain(w) and "<|" not in w else None for w in words]
-        new = list({p for ps in cuts if ps for p in ps if p not in held})
-        self._learn_pieces([p for p in new if p.isascii()], self.ascii)
-        self._learn_pieces([p for p in new if not p.isascii()], self.wide)
-        other = self.tok.encode_batch_fast([w for w, ps in zip(words, cuts, strict=True) if ps is None], add_special_tokens=False)
-        whole = iter([np.array(e.ids, np.uint32).tobytes() for e in other])
-        return [next(whole) if ps is None else held[ps[0]] if len(ps) == 1 else b"".join([held[p] for p in ps]) for ps in cuts]
+            part = new.slice(at, 1 << 16)
+            texts = part.to_pylist()
+            found = tok.encode_batch_fast([" ".join(texts[i : i + 512]) for i in range(0, len(texts), 512)], add_special_tokens=False)
+            ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
+            size = np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0)
+            if len(size) != len(part) or size.sum() != len(ids):
+                raise ValueError("the vocabulary does not end each piece with an id of its own kind")
+            self.pieces.add(part, size, ids)
+
+    def _learn(self, words: pa.Array) -> None:
+        plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|")))
+        easy, other = words.filter(plain), words.filter(pc.invert(plain))
+        if len(easy):
+            cuts = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(easy), _PIECE, r"\1 "), " ")  # "" after the last piece
+            count = np.asarray(pc.list_value_length(cuts)).astype(np.int64) - 1
+            flat = cuts.flatten()
+            coded = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
+            uniq = coded.dictionary.cast(pa.large_string())
+            if len(self.pieces.keys) > self.keep:
+                self.pieces = Ids()
+            _, missing = self.pieces.places(uniq)
+            new = uniq.take(pa.array(missing))
+            short = pc.string_is_ascii(new)
+            self._learn_pieces(new.filter(short), self.ascii)
+            self._learn_pieces(new.filter(pc.invert(short)), self.wide)
+            n, ids = self.pieces.joined(self.pieces.places(uniq)[0][np.asarray(coded.indices)])
+            self.words.add(easy, np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(count)])]), ids)
+        if len(other):
+            found = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(other.to_pylist(), add_special_tokens=False)]
+            self.words.add(other, np.fromiter(map(len, found), np.int64, len(found)), np.concatenate(found))
 
     def _known(self, uniq: pa.Array) -> np.ndarray:
-        """Places of the words in self.at, after learning those that are new."""
+        """Places of the words in self.words, after learning those that are new."""
         uniq = uniq.cast(pa.large_string())
-        if len(self.words) > self.keep:
-            self._forget()
-        if len(self.pieces) > self.keep // 3:  # Python objects, several times as large
-            self.pieces = {}
-        place = pc.index_in(uniq, value_set=self.words)
-        new = uniq.filter(pc.is_null(place))
-        if len(new):
-            ids = self._learn(new.to_pylist())
-            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            place = np.asarray(pc.fill_null(place, -1)).astype(np.int64)
-            place[place < 0] = len(self.words) + np.arange(len(new))
-            self.words = pa.concat_arrays([self.words, new])
-            self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size)])
-            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(ids), np.uint32)])
-        return np.asarray(place).astype(np.int64)
+        if len(self.words.keys) > self.keep:
+            self.words = Ids()
+        place, missing = self.words.places(uniq)
+        if len(missing):
+            new, had = uniq.take(pa.array(missing)), len(self.words.keys)
+            self._learn(new)
+            place[missing] = had + np.asarray(pc.index_in(new, value_set=self.words.keys.slice(had)))
+        return place
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end`, and the offsets of the texts."""
         # special tokens are told by case, so a text that may hold one is not lower-cased ahead
         words = Words(texts, lower=not pc.any(pc.match_substring(texts, "<|")).as_py())
         place = self._known(words.uniq)
-        first = self.at[place]
-        size, flat = self.at[place + 1] - first, self.ids
+        first = self.words.at[place]
+        size, flat = self.words.at[place + 1] - first, self.words.ids
         n = size[words.ids]
         done = np.concatenate([[0], np.cumsum(n)])
         starts = done[words.start] + np.arange(len(words.start))
