@@ -1,20 +1,17 @@
-"""Benchmark decontamination by CGK embedding and bit-sampling LSH.
-
-Text and benchmark items are lower-cased and read as words (ASCII white space between). An item leaks into a
-document if some stretch of the document's words, joined by single blanks, is within an edit distance of `share`
-of the item's characters (by default one tenth, rounded down) of the item's text joined likewise.
-
-Candidates: windows sized by the item: W words, W the largest power of two not above the item's number of words, at
-the item's start and end, and of W / 2 words (eight at least) at every quarter of W. The CGK walk reads a window with a
-pointer; at each of 2 W steps it gives out the word under the pointer, and a random bit of (step, word) says whether
-the pointer moves. Windows at a small edit distance give sequences at a small Hamming distance. TABLES times, SAMPLES
-positions of the walk are drawn; windows that agree in one draw are candidates. In a document a window begins at
-every word, except where fewer than half of its pairs of neighbouring words are pairs of any item (a bit table; a
-wrong hit only costs time): an edited word spoils two pairs, so a window with a quarter of its words edited stays.
-The walk is the same for all widths, so each start walks once. Tests hold the recall for edited passages at 0.95.
+"""Benchmark decontamination by exact seeds and edit distance.
+
+Text and benchmark items are lower-cased and read as words (ASCII white space between), joined by single blanks. An
+item leaks into a document if some stretch of the document is within an edit distance of `share` of the item's
+characters (by default one tenth, rounded down).
+
+Candidates: an item with k edits allowed is cut into k + 1 pieces, as equal as can be. k edits touch at most k of
+them, so any stretch within the distance holds one piece unchanged, at most k characters from its place: no match
+is lost. The first PIECE characters of each piece (or as many as the item's shortest piece has) are looked up at
+every character of every document by hash: a bit table first (a wrong hit only costs time), then sorted hashes.
+Hits of one item at about the same place of a document are taken together.
 Verification: candidates whose surroundings hold too few of the item's runs of GRAM characters for any stretch within
 the distance go (no match is lost); for the others, bit-parallel edit distance of the whole item against the document's
-words around the window.
+characters around the place.
 
 Items are taken in blocks of at most BLOCK_BYTES of text (on average, dealt by hash), each block's index is sent to
 the executors, and all documents meet every block; one block is the usual case.
@@ -34,28 +31,41 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colguard.llm.common import Words, hash_words, mix64, odd_constants, slices, union_all
+from colguard.llm.common import slices, union_all
+
+LEAST_WORDS, BLOCK_BYTES = 5, 8 << 20
+PIECE, GRAM, SLICE_BYTES = 9, 6, 8 << 20
 
-TABLES, SAMPLES, LEAST_WORDS, BLOCK_BYTES = 16, 3, 5, 8 << 20
-GRAM, SLICE_BYTES = 6, 8 << 20
-_PAIR_BITS = 22
 
+def _normal(texts: pa.Array) -> list[str]:
+    """Lower-cased, words joined by single blanks; null is empty."""
+    texts = pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    return pc.binary_join(pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts)), pa.scalar(" ", pa.large_string())).to_pylist()
 
-def _words(texts: pa.Array) -> tuple[Words, np.ndarray]:
-    w = Words(pc.utf8_lower(pc.fill_null(texts.cast(pa.large_string()), "")), lower=False)
-    return w, hash_words(w.uniq)[w.ids]
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
-def _pairs(h: np.ndarray) -> np.ndarray:
-    """Bit table places of neighbouring words; the last word has none of its own."""
+
+def _runs(c: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+    """For each size, in rising order, 32-bit hashes of the runs of so many characters at each place."""
+    out, h = {}, np.zeros(len(c), np.uint32)
     with np.errstate(over="ignore"):
-        x = mix64(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
-    return (x >> np.uint64(64 - _PAIR_BITS)).astype(np.int64)
+        for j in range(max(sizes)):
+            n = max(0, len(c) - j)
+            h = h[:n] * np.uint32(0x9E3779B1)
+            h += c[j : j + n]
+            if j + 1 in sizes:
+                x = h ^ h >> np.uint32(15)
+                x *= np.uint32(0x85EBCA6B)
+                x ^= x >> np.uint32(13)
+                out[j + 1] = x
+    return out
 
 
 def _grams(text: str) -> np.ndarray:
     """16-bit hashes of the text's runs of GRAM characters."""
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    c = _codes(text)
     h = np.zeros(max(0, len(c) - GRAM + 1), np.uint32)
     with np.errstate(over="ignore"):
         for j in range(GRAM):
@@ -65,50 +75,17 @@ def _grams(text: str) -> np.ndarray:
     return (h >> np.uint32(16)).astype(np.uint16)
 
 
-def walk(h: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int) -> np.ndarray:
-    """[start, step]: words (hashes) that the CGK walk gives out; past `ends` a fixed pad."""
-    rnd = odd_constants(steps, 31)
-    at = starts.copy()
-    out = np.empty((len(starts), steps), np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(steps):
-            inside = at < ends
-            x = np.where(inside, h[np.minimum(at, len(h) - 1)], np.uint64(0))
-            out[:, j] = x
-            at += (mix64(x ^ rnd[j]) >> np.uint64(63)).astype(np.int64)
-    return out
-
-
-def draws(width: int) -> np.ndarray:
-    """[table, sample]: walk positions for windows of `width` words, from a rule."""
-    r = mix64(np.arange(TABLES * SAMPLES, dtype=np.uint64) + np.uint64(width << 32))
-    return (r % np.uint64(2 * width)).astype(np.int64).reshape(TABLES, SAMPLES)
-
-
-def _keys(walked: np.ndarray, width: int) -> np.ndarray:
-    """[start, table] hashes of the drawn positions."""
-    d = draws(width)
-    out = np.empty((len(walked), TABLES), np.uint64)
-    with np.errstate(over="ignore"):
-        for t in range(TABLES):
-            k = np.full(len(walked), t + 1, np.uint64)
-            for c in d[t]:
-                k = mix64(k + walked[:, c])
-            out[:, t] = k
-    return out
-
-
-def edit_distance_within(pattern: str, text: str, most: int) -> int | None:
-    """Least edit distance of the pattern to any stretch of the text, if not above `most` (Myers' bit vectors)."""
+def _least(pattern: str, text: str) -> tuple[int, int]:
+    """Least edit distance of the pattern to any stretch of the text, and the first end of such a stretch (Myers' bit vectors)."""
     m = len(pattern)
     if not m:
-        return 0
+        return 0, 0
     places: dict[str, int] = {}
     for i, c in enumerate(pattern):
         places[c] = places.get(c, 0) | 1 << i
     full, top = (1 << m) - 1, 1 << m - 1
-    pv, mv, d, best = full, 0, m, m
-    for c in text:
+    pv, mv, d, best, end = full, 0, m, m, 0
+    for i, c in enumerate(text):
         eq = places.get(c, 0)
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
@@ -118,88 +95,91 @@ def edit_distance_within(pattern: str, text: str, most: int) -> int | None:
         elif mh & top:
             d -= 1
         if d < best:
-            best = d
+            best, end = d, i + 1
             if not best:
                 break
         ph, mh = ph << 1 & full, mh << 1 & full
         pv, mv = mh | ~(xv | ph) & full, ph & xv
+    return best, end
+
+
+def edit_distance_within(pattern: str, text: str, most: int) -> int | None:
+    """Least edit distance of the pattern to any stretch of the text, if not above `most`."""
+    best, _ = _least(pattern, text)
     return best if best <= most else None
 
 
-def windows(n: int) -> list[tuple[int, int]]:
-    """(width, first word) of the windows of an item of n words."""
-    w = 1 << n.bit_length() - 1
-    out = {(w, 0), (w, n - w)}
-    if w >= 16:
-        out |= {(w // 2, at) for at in range(0, n - w // 2 + 1, w // 4)}
-    return sorted(out)
+def _begin(pattern: str, text: str) -> int:
+    """Where a stretch of the text with the least edit distance begins: the first end, then back."""
+    _, end = _least(pattern, text)
+    return end - _least(pattern[::-1], text[:end][::-1])[1]
+
+
+def pieces(length: int, most: int) -> tuple[int, np.ndarray]:
+    """Characters of a seed, and the first characters of the most + 1 pieces of an item of `length` characters."""
+    return min(PIECE, length // (most + 1)), np.arange(most + 1) * length // (most + 1)
 
 
 class Index:
-    """The items of one block: texts, and for each window width sorted keys with their items and the
-    words that stand before the window."""
+    """The items of one block: texts, and for each seed size a bit table and the seeds' sorted hashes with their
+    items and the characters that stand before the seed."""
 
     def __init__(self, ids: list, texts: list[str | None], share: float):
-        words, h = _words(pa.array(texts, pa.string()))
-        uniq = words.uniq.to_pylist()
-        self.items, by_width, pairs = [], {}, np.zeros(1 << _PAIR_BITS, bool)
-        for r, i in enumerate(ids):
-            s, e = int(words.start[r]), int(words.start[r + 1])
-            if e - s >= LEAST_WORDS:
-                text = " ".join(uniq[w] for w in words.ids[s:e].tolist())
-                for width, at in windows(e - s):
-                    by_width.setdefault(width, []).append((len(self.items), s + at, at))
-                self.items.append((i, text, e - s, int(len(text) * share)))
-                pairs[_pairs(h[s:e])] = True
-        self.pairs, self.tables = pairs, []
-        for width, items in sorted(by_width.items()):
-            number, starts, ahead = (np.array(x, np.int64) for x in zip(*items, strict=True))
-            keys = _keys(walk(h, starts, starts + width, 2 * width), width).ravel()
-            order = np.argsort(keys, kind="stable")
-            self.tables.append((width, keys[order], np.repeat(number, TABLES)[order], np.repeat(ahead, TABLES)[order]))
+        self.items: list[tuple] = []
+        by_size: dict[int, list[tuple[int, int, int]]] = {}
+        for i, text in zip(ids, _normal(pa.array(texts, pa.string())), strict=True):
+            if text and text.count(" ") + 1 >= LEAST_WORDS:
+                most = min(int(len(text) * share), len(text) - 1)
+                size, starts = pieces(len(text), most)
+                hashes = _runs(_codes(text), [size])[size]
+                by_size.setdefault(size, []).extend((int(hashes[a]), len(self.items), a) for a in starts.tolist())
+                self.items.append((i, text, most))
+        self.sizes = np.array([(len(x[1]), x[2]) for x in self.items], np.int64).reshape(-1, 2)
+        self.tables = []
+        for size, seeds in sorted(by_size.items()):
+            keys, number, ahead = np.array(sorted(seeds), np.int64).T
+            shift = 32 - min(26, max(16, len(seeds).bit_length() + 8))
+            bits = np.zeros(1 << 32 - shift, bool)
+            bits[keys >> shift] = True
+            self.tables.append((size, shift, bits, keys, number, ahead))
 
     def search(self, texts: pa.Array) -> list[tuple[int, int, int, int]]:
-        """(row, item number, edit distance, first word of the window)."""
-        words, h = _words(texts)
-        if not self.tables or len(h) < 2:
+        """(row, item number, edit distance, first word of the stretch)."""
+        if not self.tables or not len(texts):
             return []
-        doc = np.repeat(np.arange(len(words.start) - 1), np.diff(words.start))
-        ends = words.start[1:][doc]
-        hit = np.zeros(len(h) + 1, np.int64)
-        hit[1:-1] = self.pairs[_pairs(h)] & (doc[1:] == doc[:-1])
-        hit = np.cumsum(hit)
-        passed = {}
-        for width, *_ in self.tables:
-            stop = np.minimum(np.arange(len(h)) + width - 1, ends - 1)
-            passed[width] = 2 * (hit[np.maximum(stop, np.arange(len(h)))] - hit[: len(h)]) >= width - 1
-        cand: set[tuple[int, int, int]] = set()
-        any_ = np.flatnonzero(np.logical_or.reduce(list(passed.values())))
-        for at in range(0, len(any_), 1 << 15):
-            starts = any_[at : at + (1 << 15)]
-            wide = max(w for w in passed if passed[w][starts].any())
-            walked = walk(h, starts, ends[starts], 2 * wide)
-            for width, keys, number, ahead in self.tables:
-                on = np.flatnonzero(passed[width][starts])
-                if not len(on):
-                    continue
-                asked = _keys(walked[on], width)
-                lo, hi = np.searchsorted(keys, asked), np.searchsorted(keys, asked, side="right")
-                for r, t in zip(*np.nonzero(hi > lo), strict=True):
-                    s = int(starts[on[r]])
-                    cand.update((int(doc[s]), x, s - a) for x, a in zip(number[lo[r, t] : hi[r, t]].tolist(), ahead[lo[r, t] : hi[r, t]].tolist(), strict=True))
-        return self._verify(words, sorted(cand))
-
-    def _near(self, text: str, at: np.ndarray, lo: np.ndarray, hi: np.ndarray, item: np.ndarray) -> np.ndarray:
-        """Which stretches of words [lo, hi) may hold their item: k edits spoil at most k * GRAM of an item's
+        docs = _normal(texts)
+        text = "\n".join(docs)  # no item holds a line break
+        first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, docs), np.int64, len(docs)) + 1)])
+        runs = _runs(_codes(text), [x[0] for x in self.tables])
+        found = []
+        for size, shift, bits, keys, number, ahead in self.tables:
+            at = np.flatnonzero(bits[runs[size] >> np.uint32(shift)])
+            asked = runs.pop(size)[at].astype(np.int64)
+            lo = np.searchsorted(keys, asked)
+            n = np.searchsorted(keys, asked, side="right") - lo
+            seed = np.arange(n.sum()) + np.repeat(lo - (np.cumsum(n) - n), n)
+            found.append((np.repeat(at, n), number[seed], ahead[seed]))
+        at, item, ahead = (np.concatenate(x) for x in zip(*found, strict=True))
+        doc = np.searchsorted(first, at, side="right") - 1
+        place = at - ahead  # where the item begins if nothing before the seed is edited
+        wide = self.sizes[item, 1] + 1
+        found = np.unique(np.stack([doc, item, place // wide], 1), axis=0)
+        doc, item, begin = found[:, 0], found[:, 1], found[:, 2] * (self.sizes[found[:, 1], 1] + 1)
+        m, most = self.sizes[item].T
+        lo, hi = np.maximum(first[doc], begin - most), np.minimum(first[doc + 1] - 1, begin + most + m + most)
+        return self._verify(text, first, doc, item, lo, hi)
+
+    def _near(self, text: str, lo: np.ndarray, hi: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """Which stretches of characters [lo, hi) may hold their item: k edits spoil at most k * GRAM of an item's
         runs of GRAM characters, so the rest must stand in some stretch as long as the item and k more, and each
         of them as often as the item has it."""
         grams = _grams(text)
-        first, n = at[lo], np.maximum(at[hi] - GRAM - at[lo], 0)  # at[hi] is behind a blank
+        first, n = lo, np.maximum(hi - lo - GRAM + 1, 0)
         keep = np.ones(len(item), bool)
         table = np.zeros(1 << 16, bool)
         order = np.argsort(item, kind="stable")
         for group in np.split(order, np.flatnonzero(np.diff(item[order])) + 1):
-            _, wanted, _, most = self.items[item[group[0]]]
+            _, wanted, most = self.items[item[group[0]]]
             least = len(wanted) - GRAM + 1 - most * GRAM
             if least <= 0:
                 continue
@@ -225,29 +205,29 @@ class Index:
             table[own] = False
         return keep
 
-    def _verify(self, words: Words, cand: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-        if not cand:
+    def _verify(self, text: str, first: np.ndarray, doc: np.ndarray, item: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int, int, int]]:
+        if not len(doc):
             return []
-        doc, item, s = np.array(cand, np.int64).T
-        n = np.array([x[2] for x in self.items], np.int64)[item]
-        lo, hi = np.maximum(words.start[doc], s - 3 - n // 8), np.minimum(words.start[doc + 1], s + n + 3 + n // 8)
-        uniq = words.uniq.to_pylist()
-        text = " ".join([uniq[w] for w in words.ids.tolist()])
-        at = np.concatenate([[0], np.cumsum(np.fromiter(map(len, uniq), np.int64, len(uniq))[words.ids] + 1)])
-        near = np.flatnonzero(self._near(text, at, lo, hi, item))
-        best: dict[tuple[int, int], tuple[int, int]] = {}
-        known: dict[tuple[int, str], int | None] = {}  # copies, and windows beside each other, ask the same again
-        for d, x, begin, a, b in zip(*(v[near].tolist() for v in (doc, item, s, at[lo], at[hi] - 1)), strict=True):
-            if best.get((d, x), (1, 0))[0] == 0:
+        near = np.flatnonzero(self._near(text, lo, hi, item))
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        known: dict[tuple[int, str], int | None] = {}  # copies ask the same again
+        for d, x, a, b in zip(*(v[near].tolist() for v in (doc, item, lo, hi)), strict=True):
+            if best.get((d, x), (1,))[0] == 0:
                 continue
-            _, wanted, _, most = self.items[x]
+            _, wanted, most = self.items[x]
             asked = x, text[a:b]
             if asked not in known:
                 known[asked] = edit_distance_within(wanted, asked[1], most)
             found = known[asked]
-            if found is not None and found < best.get((d, x), (most + 1, 0))[0]:
-                best[d, x] = (found, max(0, begin - int(words.start[d])))
-        return [(d, x, dist, s) for (d, x), (dist, s) in sorted(best.items())]
+            if found is not None and found < best.get((d, x), (most + 1,))[0]:
+                best[d, x] = (found, a, b)
+        out, began = [], {}
+        for (d, x), (dist, a, b) in sorted(best.items()):
+            asked = x, text[a:b]
+            if asked not in began:
+                began[asked] = _begin(self.items[x][1], asked[1])
+            out.append((d, x, dist, text.count(" ", int(first[d]), a + began[asked] + 1)))
+        return out
 
 
 def indexes(benchmark: DataFrame, share: float) -> Iterator[Index]:
@@ -261,7 +241,7 @@ def indexes(benchmark: DataFrame, share: float) -> Iterator[Index]:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.1) -> DataFrame:
-    """doc_id, item_id, edit_distance, first_word: a row for each document and item that leaks into it."""
+    """doc_id, item_id, edit_distance, first_word (of the stretch found): a row for each document and item that leaks into it."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     item = benchmark.schema["item_id"].dataType

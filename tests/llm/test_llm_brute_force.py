@@ -290,6 +290,43 @@ def test_decontamination_recall_and_precision(spark):
     assert not any(i >= 1000 for i, _ in out)
 
 
+def _edited(rng, text, edits):
+    c = list(text)
+    for p in sorted(rng.choice(len(c), edits, replace=False).tolist(), reverse=True):
+        c[p : p + 1] = [["Z", c[p]], [], ["Q"]][int(rng.integers(3))]
+    return "".join(c)
+
+
+@pytest.mark.parametrize("words", [(15, 60), (100, 200)])
+@pytest.mark.parametrize("share", [0.05, 0.07, 0.1])
+def test_decontamination_loses_nothing_within_the_distance(words, share):
+    """Edits spread over the characters, blanks too: every planted passage is found, with its least distance."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    vocab = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(3000)]
+    items = [" ".join(rng.choice(vocab, rng.integers(*words))) for _ in range(12)]
+    held = [_edited(rng, t, int(len(t) * share)) for t in items]
+    texts = [" ".join([*rng.choice(vocab, 80), t, *rng.choice(vocab, 50)]) for t in held]
+    index = decontaminate.Index(list(range(12)), items, 0.1)
+    out = {(d, x): (dist, at) for d, x, dist, at in index.search(pa.array(texts))}
+    assert set(out) == {(i, i) for i in range(12)}
+    norm = [" ".join(t.lower().split()) for t in texts]
+    for i, (dist, at) in ((i, out[i, i]) for i in range(12)):
+        assert dist <= int(len(items[i]) * share) and (words[1] > 60 or dist == distance_in(items[i], norm[i]))
+        assert abs(at - 80) <= 2
+
+
+def test_decontamination_places():
+    """An exact copy's first word, at the start, inside and at the end of a document."""
+    import pyarrow as pa
+
+    item = "mary had a little lamb whose fleece was white as snow"
+    index = decontaminate.Index([1, 2], [item, item], 0.1)
+    texts = [item, f"one  two\t{item.upper()} three", f"one two three\n{item}", None, "", "mary had a little goat"]
+    assert index.search(pa.array(texts)) == [(0, 0, 0, 0), (0, 1, 0, 0), (1, 0, 0, 2), (1, 1, 0, 2), (2, 0, 0, 3), (2, 1, 0, 3)]
+
+
 def test_language_id(spark, docs):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(df.where(language_id.training_rows(df)))
