@@ -11,9 +11,11 @@ Rejection: the rival gives each character its frequency over all languages, or o
 less the best language's. Documents whose margin is under a threshold are rejected; the threshold is the
 `quantile` of the margins of at most `calibrate` training documents (those with the smallest hashes), less `slack`.
 
-Bounds: `grams` 4-grams at most are kept over all languages (the most frequent; the count at the bound is found
-by counting, so ties stay or go together), 40 bytes each on the driver and in each Python worker. Counting covers
-every training document.
+Bounds: no gram is dropped. Up to `grams` different 4-grams over all languages, the model is one broadcast, 40 bytes
+a gram. With more, Spark counts the lower orders and what the discounts need over all grams, and the model is cut into
+parts of about `grams` grams: orders 1 and 2 by the last character but one, orders 3 and 4 by the two characters before
+the last, so all that a gram asks for stands in one part of each kind. The driver and each Python worker hold one part
+at a time; the probabilities are the same.
 
 Cases: a text that is null or has no letter gets `und`, score 0 and is rejected; without any training row every
 document gets `und`; very long texts are scored whole; equal scores go to the first language in code-point order;
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -92,14 +95,20 @@ class Model:
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
-        chars = np.unique(np.concatenate([k & np.uint64(0xFFFF) for k, _ in counts.values()])) if counts else np.zeros(0)
-        self.uniform = 1.0 / (len(chars) + 1)
+        self.uniform = 1.0 / (len(np.unique(np.concatenate([k & np.uint64(0xFFFF) for k, _ in counts.values()]))) + 1 if counts else 1)
         self.levels = [self._fit(*counts[x]) for x in self.langs]
+        self.parts: list[tuple[range, list[Broadcast]]] = []
         both = _add_up(np.concatenate([k & np.uint64(0xFFFF) for k, _ in counts.values()]), np.concatenate([n for _, n in counts.values()])) if counts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        total = both[1].sum() + len(both[0]) + 1
-        self.rival, self.rival_p, self.rival_rest = both[0], np.maximum((both[1] + 1) / total, self.uniform), self.uniform
+        self._set_rival(*both)
         self.threshold = -np.inf
 
+    def _set_rival(self, chars: np.ndarray, n: np.ndarray) -> None:
+        self.uniform = 1.0 / (len(chars) + 1)
+        self.rival, self.rival_p, self.rival_rest = chars, np.maximum((n + 1) / (n.sum() + len(n) + 1), self.uniform), self.uniform
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"parts": []}  # broadcasts are sent by the functions that use them
+
     @staticmethod
     def _low(keys: np.ndarray, order: int) -> np.ndarray:
         """The last `order` characters."""
@@ -109,38 +118,54 @@ class Model:
     def _hash(keys: np.ndarray, order: int) -> np.ndarray:
         return mix64(keys ^ np.uint64(order) << np.uint64(61)) if order < 4 else mix64(keys)
 
-    def _fit(self, keys: np.ndarray, n: np.ndarray) -> list:
+    def _fit(self, keys: np.ndarray, n: np.ndarray) -> dict:
         tables = {ORDER: (keys, n)}
         for k in range(ORDER - 1, 0, -1):  # how many different characters precede
             up = tables[k + 1][0]
             tables[k] = _add_up(self._low(up, k), np.ones(len(up)))
-        levels: list = []
+        levels: dict = {}
         for k in range(1, ORDER + 1):
             g, c = tables[k]
-            n1, n2 = (c == 1).sum(), (c == 2).sum()
-            d = min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.1
-            ctx = g >> np.uint64(16)
-            u, inv = np.unique(ctx, return_inverse=True)
-            total = np.bincount(inv, weights=c)
-            gamma = d * np.bincount(inv) / total
-            p = (c - d) / total[inv] + gamma[inv] * self._interpolate(levels, g, k - 1)
-            h, hc = self._hash(g, k), self._hash(u, k + 4 & 7)
-            o, oc = np.argsort(h), np.argsort(hc)
-            levels.append((h[o], p[o], hc[oc], gamma[oc]))
+            levels[k] = self._level(k, g, c, _discount((c == 1).sum(), (c == 2).sum()), self._interpolate(levels, g, range(1, k)))
         return levels
 
-    def _interpolate(self, levels: list, grams: np.ndarray, upto: int) -> np.ndarray:
-        """Probability of each gram's last character after the characters before it, by orders 1 to upto."""
-        p = np.full(len(grams), self.uniform)
-        for k in range(1, upto + 1):
-            h, ph, hc, gamma = levels[k - 1]
-            g = self._low(grams, k)
-            p = np.where(*_find(h, self._hash(g, k), ph), _weights(hc, self._hash(g >> np.uint64(16), k + 4 & 7), gamma) * p)
+    def _level(self, k: int, g: np.ndarray, c: np.ndarray, d: float, lower: np.ndarray) -> tuple[np.ndarray, ...]:
+        u, inv = np.unique(g >> np.uint64(16), return_inverse=True)
+        total = np.bincount(inv, weights=c)
+        gamma = d * np.bincount(inv) / total
+        p = (c - d) / total[inv] + gamma[inv] * lower
+        h, hc = self._hash(g, k), self._hash(u, k + 4 & 7)
+        o, oc = np.argsort(h), np.argsort(hc)
+        return h[o], p[o], hc[oc], gamma[oc]
+
+    def _interpolate(self, levels: dict, grams: np.ndarray, orders: range, p: np.ndarray | None = None) -> np.ndarray:
+        """Probability of each gram's last character after the characters before it, by these orders over p (uniform)."""
+        p = np.full(len(grams), self.uniform) if p is None else p
+        for k in orders:
+            h, ph, hc, gamma = levels[k]
+            if len(h):
+                g = self._low(grams, k)
+                p = np.where(*_find(h, self._hash(g, k), ph), _weights(hc, self._hash(g >> np.uint64(16), k + 4 & 7), gamma) * p)
+        return p
+
+    def probs(self, grams: np.ndarray) -> np.ndarray:
+        """[language, gram]; parts are loaded one after the other and let go."""
+        if not self.parts:
+            return np.stack([self._interpolate(x, grams, range(1, ORDER + 1)) for x in self.levels])
+        p = np.full((len(self.langs), len(grams)), self.uniform)
+        for orders, parts in self.parts:
+            which = _part(grams, orders, len(parts))
+            for s, held in enumerate(parts):
+                on = np.flatnonzero(which == s)
+                if len(on):
+                    for i, levels in enumerate(held.value):
+                        p[i, on] = self._interpolate(levels, grams[on], orders, p[i, on])
+                    held.__dict__.pop("_value", None)
         return p
 
     def log_probs(self, grams: np.ndarray) -> np.ndarray:
         """[language, gram]"""
-        return np.stack([np.log(self._interpolate(x, grams, ORDER)) for x in self.levels])
+        return np.log(self.probs(grams))
 
     def rival_log(self, grams: np.ndarray) -> np.ndarray:
         c = grams & np.uint64(0xFFFF)
@@ -170,6 +195,24 @@ class Model:
         return best, score, np.where(seen, (top - rival) / np.maximum(n, 1), -np.inf)
 
 
+def _discount(n1: int, n2: int) -> float:
+    return min(0.95, max(0.1, n1 / (n1 + 2 * n2))) if n1 else 0.1
+
+
+#: Characters (bits of a gram) that say in which part a gram's low or high orders stand
+_LOW, _HIGH = (range(1, 3), 0xFFFF), (range(3, ORDER + 1), 0xFFFFFFFF)
+
+
+def _part(grams: np.ndarray, orders: range, n: int) -> np.ndarray:
+    mask = dict((_LOW, _HIGH))[orders]
+    return (((grams >> np.uint64(16) & np.uint64(mask)) * np.uint64(1_000_003) >> np.uint64(7)) % np.uint64(n)).astype(np.int64)
+
+
+def _part_column(orders: range, n: int) -> Column:
+    mask = dict((_LOW, _HIGH))[orders]
+    return F.shiftright(F.shiftright("gram", 16).bitwiseAND(F.lit(mask)) * F.lit(1_000_003), 7) % F.lit(n)
+
+
 def _find(keys: np.ndarray, asked: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
     return keys[at] == asked, values[at]
@@ -183,42 +226,89 @@ def training_rows(docs: DataFrame) -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) != 2
 
 
+def _by_lang(t: pa.Table) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    lang, gram, n = t.column("lang").combine_chunks(), t.column("gram").to_numpy().view(np.uint64), t.column("n").to_numpy()
+    out = {}
+    for x in pc.unique(lang).to_pylist():
+        on = np.asarray(pc.equal(lang, x))
+        o = np.argsort(gram[on])
+        out[x] = gram[on][o], n[on][o].astype(np.float64)
+    return out
+
+
+def _in_parts(counts: DataFrame, total: int, grams: int) -> Model:
+    """A model of all the counts whose levels are in parts of about `grams` grams, each a broadcast of its own."""
+    tables = {ORDER: counts}
+    try:
+        for k in range(ORDER - 1, 0, -1):  # how many different characters precede
+            low = F.col("gram").bitwiseAND(F.lit((1 << 16 * k) - 1))
+            tables[k] = tables[k + 1].groupBy("lang", low.alias("gram")).agg(F.count("*").alias("n")).persist()
+        discount = {}
+        for k, t in tables.items():
+            for x in t.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("n1"), F.count_if(F.col("n") == 2).alias("n2")).collect():
+                discount[k, x["lang"]] = _discount(x["n1"], x["n2"])
+        chars = counts.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("c")).agg(F.sum("n").alias("n")).orderBy("c").toArrow()  # 2^16 at most
+        model = Model({})
+        model.langs = sorted({x for _, x in discount})
+        model._set_rival(chars.column("c").to_numpy().view(np.uint64), chars.column("n").to_numpy())
+        rows = {k: total if k == ORDER else t.count() for k, t in tables.items()}
+        none = np.zeros(0, np.uint64), np.zeros(0)
+        for orders in (_LOW[0], _HIGH[0]):
+            n = max(1, -(-sum(rows[k] for k in orders if k > 1) // grams))
+            parts = []
+            for s in range(n):
+                levels: list[dict] = [{} for _ in model.langs]
+                for k in orders:
+                    got = _by_lang((tables[k] if k == 1 else tables[k].where(_part_column(orders, n) == s)).toArrow())
+                    at = np.unique(np.concatenate([g for g, _ in got.values()] or [none[0]]))
+                    lower = model.probs(at) if model.parts else None
+                    for i, x in enumerate(model.langs):
+                        g, c = got.get(x, none)
+                        p = None if lower is None else lower[i, np.searchsorted(at, g)]
+                        levels[i][k] = model._level(k, g, c, discount[k, x], model._interpolate(levels[i], g, range(orders.start, k), p))
+                parts.append(counts.sparkSession.sparkContext.broadcast(levels))
+            model.parts.append((orders, parts))
+        return model
+    finally:
+        for k in range(1, ORDER):
+            if k in tables:
+                tables[k].unpersist()
+
+
+def _held(spark: SparkSession, model: Model):
+    """What gives the model in a Python worker."""
+    held, parts = spark.sparkContext.broadcast(model), model.parts
+
+    def get() -> Model:
+        m = held.value
+        m.parts = parts
+        return m
+
+    return get
+
+
 def fit(docs: DataFrame, grams: int = 1 << 20, calibrate: int = 4096, quantile: float = 0.0005, slack: float = 0.5) -> Model:
     """Learns from the rows of docs (text, lang) that have both."""
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     counts = rows.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     try:
-        least = 1
-        if counts.count() > grams:
-            by_count = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("c")).orderBy(F.desc("n")).collect()
-            left = grams
-            for x in by_count:
-                left -= x["c"]
-                if left < 0:
-                    break
-                least = x["n"]
-        kept = counts.where(F.col("n") >= least).toArrow()  # at most `grams` rows
+        total = counts.count()
+        model = Model(_by_lang(counts.toArrow())) if total <= grams else _in_parts(counts, total, grams)
     finally:
         counts.unpersist()
-    by_lang: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-    lang, gram, n = kept.column("lang").combine_chunks(), kept.column("gram").to_numpy().view(np.uint64), kept.column("n").to_numpy()
-    for x in pc.unique(lang).to_pylist():
-        on = np.asarray(pc.equal(lang, x))
-        o = np.argsort(gram[on])
-        by_lang[x] = gram[on][o], n[on][o].astype(np.float64)
-    model = Model(by_lang)
     h = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(5)), 11)
     some = rows.where(h < int(min(1, 2 * calibrate / max(1, rows.count())) * (1 << 53)))  # about twice the sample, so that few texts are sorted
     sample = some.select("text", h.alias("h")).orderBy("h").limit(calibrate).select("text")
-    margins = sample.mapInArrow(_margins(model), "margin double").toArrow().column("margin").to_numpy()
+    margins = sample.mapInArrow(_margins(_held(docs.sparkSession, model)), "margin double").toArrow().column("margin").to_numpy()
     margins = margins[np.isfinite(margins)]
     if len(margins):
         model.threshold = float(np.quantile(margins, quantile)) - slack
     return model
 
 
-def _margins(model: Model):
+def _margins(held):
     def run(batches):
+        model = held()
         for b in batches:
             yield pa.record_batch([pa.array(model.score(b.column("text"))[2])], names=["margin"])
 
@@ -227,10 +317,10 @@ def _margins(model: Model):
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, margin, rejected."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # 40 bytes for each gram, bounded by fit's `grams`
+    held = _held(docs.sparkSession, model)  # 40 bytes for each gram, in parts of fit's `grams`
 
     def run(batches):
-        m = held.value
+        m = held()
         names = np.array([*m.langs, "und"], object)
         for whole in batches:
             for b in slices(whole, "text"):
@@ -243,11 +333,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that the model doesn't reject, all columns."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = _held(docs.sparkSession, model)
     schema = docs.schema
 
     def run(batches):
-        m = held.value
+        m = held()
         for whole in batches:
             for b in slices(whole, "text"):
                 best, _, margin = m.score(b.column(b.schema.get_field_index("text")))

@@ -356,6 +356,21 @@ def test_language_model_is_a_distribution(spark):
         assert (np.exp(model.log_probs(grams)).sum(1) <= 1 + 1e-9).all() and (np.exp(model.log_probs(grams)).sum(1) > 0.7).all()
 
 
+def test_language_model_in_parts_keeps_every_gram(spark):
+    """Far more grams than the bound, one language rare: the same languages, probabilities and answers as in one piece."""
+    df = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    df = df.union(spark.createDataFrame([(9_000_001, "pqow zmxn qpwo xnzm", "rare")], df.schema))
+    whole, parts = language_id.fit(df), language_id.fit(df, grams=1 << 11)
+    assert "rare" in whole.langs and parts.langs == whole.langs and sum(len(x) for _, x in parts.parts) > 4
+    rng = np.random.default_rng(4)
+    chars = np.array([ord(c) for c in " aeinrstñqzж"], np.uint64)
+    c = rng.choice(chars, (4, 4000))
+    grams = c[0] << np.uint64(48) | c[1] << np.uint64(32) | c[2] << np.uint64(16) | c[3]
+    assert np.allclose(parts.log_probs(grams), whole.log_probs(grams), rtol=1e-12)
+    a, b = ({r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in got(language_id.identify(df, m))} for m in (whole, parts))
+    assert a == b and a[9_000_001] == ("rare", False)
+
+
 def test_marginals():
     rng = np.random.default_rng(0)
     offsets = np.array([0, 1, 5, 5 + 3])
