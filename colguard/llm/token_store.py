@@ -14,13 +14,14 @@ its recipes.
 Cases: an empty or null text is one chunk with the end id; equal texts share one root; repeated rows each have
 a recipe; an empty table gives empty files; other columns are not read.
 
-Words are encoded once while cached: the vocabulary's pre-tokenizer drops white space and never joins
-across it, so the ids of a text are those of its words in order (tests hold this against whole texts).
+The different words of a slice of texts are encoded once: the vocabulary's pre-tokenizer drops white space and never
+joins across it, so the ids of a text are those of its words in order (tests hold this against whole texts).
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +34,7 @@ from pyspark.sql import functions as F
 from colguard.llm.common import Scratch, Words, mix64, odd_constants, slices
 
 WINDOW, MASK, LEAST, MOST = 8, 0xFF, 64, 1024
+SLICE_BYTES, SEEN = 6 << 20, 100_000
 _CACHE: dict = {}
 
 
@@ -42,49 +44,33 @@ _PLAIN = "^[!-&(-~\u00c0-\u012f\u0131-\u017f]+$"
 _PIECE = "([a-z\u00df-\u00f6\u00f8-\u017f]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u017f]+)"
 
 
-class Ids:
-    """Strings and the ids of each, in Arrow and numpy: string i has ids[at[i]:at[i + 1]]."""
-
-    def __init__(self):
-        self.keys = pa.array([], pa.large_string())
-        self.at, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def places(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Where the keys stand (-1: not here), and the positions of those that are not here."""
-        place = np.array(pc.fill_null(pc.index_in(keys, value_set=self.keys), -1), np.int64)
-        return place, np.flatnonzero(place < 0)
-
-    def add(self, keys: pa.Array, size: np.ndarray, ids: np.ndarray) -> None:
-        self.keys = pa.concat_arrays([self.keys, keys])
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(size, dtype=np.int64)])
-        self.ids = np.concatenate([self.ids, ids.astype(np.uint32, copy=False)])
-
-    def joined(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """How many ids each of the places has, and all of them in a row."""
-        first = self.at[place]
-        n = self.at[place + 1] - first
-        done = np.concatenate([[0], np.cumsum(n)])
-        return n, self.ids[np.repeat(first - done[:-1], n) + np.arange(done[-1])]
+def _joined(size: np.ndarray, ids: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Strings in a row have `size` ids each, all in `ids`: how many the strings at each place have, and theirs in a row."""
+    first = (np.cumsum(size) - size)[place]
+    n = size[place]
+    done = np.concatenate([[0], np.cumsum(n)])
+    return n, ids[np.repeat(first - done[:-1], n) + np.arange(done[-1])]
 
 
 class Encoder:
-    """Encodes batches of texts; keeps the ids of words and pieces seen, at most about `keep` of each.
+    """Encodes batches of texts. Nothing is kept between batches, so a worker's memory is bounded by its slice of texts.
 
     Plain words are cut into the vocabulary's pieces (runs of letters, single digits, runs of the rest) here, all words
-    of a batch at once, and the library's model encodes each piece once; every other word goes through the whole tokenizer.
+    of a batch at once, and the library's model encodes each different piece once; every other word goes through the whole
+    tokenizer.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; the library's own threads only cost memory
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tok, self.keep = Tokenizer.from_file(path), keep
+        self.tok = Tokenizer.from_file(path)
         blanks = pre_tokenizers.WhitespaceSplit()
         self.ascii, self.wide = Tokenizer(self.tok.model), Tokenizer(self.tok.model)
         self.ascii.pre_tokenizer = blanks
         self.wide.pre_tokenizer = pre_tokenizers.Sequence([blanks, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.last = np.zeros(self.tok.get_vocab_size() + 1, bool)  # ids that end a piece
         self.last[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
-        self.words, self.pieces = Ids(), Ids()
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -92,58 +78,53 @@ class Encoder:
             _CACHE[path] = cls(path)
         return _CACHE[path]
 
-    def _learn_pieces(self, new: pa.Array, tok) -> None:
-        for at in range(0, len(new), 1 << 16):
-            part = new.slice(at, 1 << 16)
-            texts = part.to_pylist()
-            found = tok.encode_batch_fast([" ".join(texts[i : i + 512]) for i in range(0, len(texts), 512)], add_special_tokens=False)
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in found])
-            size = np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0)
-            if len(size) != len(part) or size.sum() != len(ids):
-                raise ValueError("the vocabulary does not end each piece with an id of its own kind")
-            self.pieces.add(part, size, ids)
-
-    def _learn(self, words: pa.Array) -> None:
-        plain = pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|")))
-        easy, other = words.filter(plain), words.filter(pc.invert(plain))
+    def _pieces(self, texts: pa.Array, tok) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each piece has, and all of them in a row."""
+        found, ends = [np.zeros(0, np.uint32)], np.minimum(np.arange(0, len(texts) + 512, 512), len(texts))
+        for at in range(0, len(ends) - 1, 32):
+            runs = pa.LargeListArray.from_arrays(pa.array(ends[at : at + 33]), texts.cast(pa.large_string()))
+            joined = pc.binary_join(runs, pa.scalar(" ", pa.large_string())).to_pylist()
+            found += [np.array(e.ids, np.uint32) for e in tok.encode_batch_fast(joined, add_special_tokens=False)]
+        ids = np.concatenate(found)
+        size = np.diff(np.flatnonzero(self.last[ids]) + 1, prepend=0)
+        if len(size) != len(texts) or size.sum() != len(ids):
+            raise ValueError("the vocabulary does not end each piece with an id of its own kind")
+        return size, ids
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has, and all of them in a row."""
+        words = words.cast(pa.large_string())
+        plain = np.asarray(pc.and_(pc.match_substring_regex(words, _PLAIN), pc.invert(pc.match_substring(words, "<|"))))
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        easy, other = words.filter(pa.array(plain)), words.filter(pa.array(~plain))
+        sizes, found = [], []
         if len(easy):
             cuts = pc.split_pattern(pc.replace_substring_regex(pc.utf8_lower(easy), _PIECE, r"\1 "), " ")  # "" after the last piece
             count = np.asarray(pc.list_value_length(cuts)).astype(np.int64) - 1
             flat = cuts.flatten()
             coded = flat.filter(pc.not_equal(flat, "")).dictionary_encode()
-            uniq = coded.dictionary.cast(pa.large_string())
-            if len(self.pieces.keys) > self.keep:
-                self.pieces = Ids()
-            _, missing = self.pieces.places(uniq)
-            new = uniq.take(pa.array(missing))
-            short = pc.string_is_ascii(new)
-            self._learn_pieces(new.filter(short), self.ascii)
-            self._learn_pieces(new.filter(pc.invert(short)), self.wide)
-            n, ids = self.pieces.joined(self.pieces.places(uniq)[0][np.asarray(coded.indices)])
-            self.words.add(easy, np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(count)])]), ids)
-        if len(other):
-            found = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(other.to_pylist(), add_special_tokens=False)]
-            self.words.add(other, np.fromiter(map(len, found), np.int64, len(found)), np.concatenate(found))
-
-    def _known(self, uniq: pa.Array) -> np.ndarray:
-        """Places of the words in self.words, after learning those that are new."""
-        uniq = uniq.cast(pa.large_string())
-        if len(self.words.keys) > self.keep:
-            self.words = Ids()
-        place, missing = self.words.places(uniq)
-        if len(missing):
-            new, had = uniq.take(pa.array(missing)), len(self.words.keys)
-            self._learn(new)
-            place[missing] = had + np.asarray(pc.index_in(new, value_set=self.words.keys.slice(had)))
-        return place
+            uniq = coded.dictionary
+            short = pc.string_is_ascii(uniq)
+            some, rest = self._pieces(uniq.filter(short), self.ascii), self._pieces(uniq.filter(pc.invert(short)), self.wide)
+            at = np.empty(len(uniq), np.int64)
+            at[np.concatenate([np.flatnonzero(np.asarray(short)), np.flatnonzero(~np.asarray(short))])] = np.arange(len(uniq))
+            n, ids = _joined(np.concatenate([some[0], rest[0]]), np.concatenate([some[1], rest[1]]), at[np.asarray(coded.indices)])
+            sizes.append(np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(count)])]))
+            found.append(ids)
+        for at in range(0, len(other), 1 << 12):
+            mine = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast(other.slice(at, 1 << 12).to_pylist(), add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, mine), np.int64, len(mine)))
+            found += mine
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return _joined(np.concatenate([*sizes, np.zeros(0, np.int64)]), np.concatenate([*found, np.zeros(0, np.uint32)]), place)
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by `end`, and the offsets of the texts."""
         # special tokens are told by case, so a text that may hold one is not lower-cased ahead
         words = Words(texts, lower=not pc.any(pc.match_substring(texts, "<|")).as_py())
-        place = self._known(words.uniq)
-        first = self.words.at[place]
-        size, flat = self.words.at[place + 1] - first, self.words.ids
+        size, flat = self._words(words.uniq)
+        first = np.cumsum(size) - size
         n = size[words.ids]
         done = np.concatenate([[0], np.cumsum(n)])
         starts = done[words.start] + np.arange(len(words.start))
@@ -206,7 +187,7 @@ def _stage(vocab: str, end: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, seen = Encoder.of(vocab), set()
         for whole in batches:
-            for b in slices(whole, "text", 4 << 20):
+            for b in slices(whole, "text", SLICE_BYTES):
                 ids, start = enc.encode(b.column("text"), end)
                 raw = ids.astype(kind).tobytes()
                 roots, lists, data = [], [], []
@@ -222,9 +203,11 @@ def _stage(vocab: str, end: int, width: int):
                     roots.append(merkle(mine))
                     lists.append(mine)
                     data.append(own)
-                if len(seen) > 500_000:
+                if len(seen) > SEEN:
                     seen.clear()  # only saves bytes; the store itself drops what comes twice
                 yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(start)), pa.array(roots, pa.binary()), pa.array(lists, pa.list_(pa.binary())), pa.array(data, pa.list_(pa.binary()))], schema=_STAGED)
+                for pool in (pa.default_memory_pool(), pa.system_memory_pool()):  # else what a slice took stays with the worker
+                    pool.release_unused()
 
     return run
 
