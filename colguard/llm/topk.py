@@ -1,20 +1,22 @@
 """Exact top-k search by inner product with KD-trees, one for each shard.
 
-Components become integers, floor(1024 * x). Vectors are dealt into shards by hash of their id; a task reads one
-shard, and builds its KD-tree: nodes split at the median of their widest dimension down to leaves, each node with the
-tight bounding box of its vectors. No vector in a box scores more than sum(max(q * low, q * high)). A query visits
-a shard's nodes best bound first from a heap and stops when the best bound is under the kth score. That score is
-propagated: a first pass over one small shard's worth of vectors gives each query a kth score that holds for all
-vectors, and every shard starts from it. Nodes whose bound equals the kth score are still visited, because a tie
-goes to the smaller id.
-
-Queries are taken in blocks of BLOCK; the vectors are written once and read for every block. Broadcast: a block of
-queries with their first kth scores, BLOCK * (dimensions + 2) numbers. A task holds one shard, about SHARD vectors.
-
-Cases: vectors that are null or hold null or non-finite components take no part; vectors of other lengths are
-compared as if the shorter ended in zeros; repeated ids are separate candidates (a query's own id never is one) and a
-repeated query id is one query, the vector that sorts first; components are exact up to 2**53 in the sum of
-products, beyond that Python integers are used; scores beyond 64 bits fail; empty tables give empty results.
+Components become integers, floor(1024 * x). A shard is SHARD vectors that follow each other in a task's input. Its
+KD-tree splits nodes at the median of their widest dimension down to leaves, each node with the tight bounding box of
+its vectors. No vector in a box scores more than sum(max(q * low, q * high)). A query visits a shard's nodes best bound
+first from a heap and stops when the best bound is under the kth score. Nodes whose bound equals the kth score are
+still visited, because a tie goes to the smaller id. The kth score is propagated twice: a first pass over FIRST vectors
+gives each query a score that k vectors reach, from which every task starts; in a task, each shard starts from
+the kth score of all shards before it. A task gives no candidate that its own kth score rules out.
+
+Queries are taken in blocks of BLOCK. The vectors are dealt into files once; each block scans them, without a shuffle of
+vectors. Bounds: a block of queries with their first kth scores is broadcast, BLOCK * (dimensions + 2) numbers; the
+driver holds that and FIRST vectors; a task holds one shard, and k candidates for each query of the block.
+
+Cases: vectors that are null, have a null id or hold null or non-finite components take no part; vectors of other lengths
+are compared as if the shorter ended in zeros; repeated ids are separate candidates (a query's own id never is one) and a
+repeated query id is one query, the vector that sorts first; where a sum of products could pass 2**53, Python integers
+are used, so scores and kth scores are exact at any size; scores beyond 64 bits fail; empty tables give empty results;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,16 +26,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from colguard.llm.common import Scratch, union_all
 
-K, SHARD, LEAF, BLOCK, EVERY = 10, 2048, 64, 4096, 100
+K, SHARD, LEAF, BLOCK, EVERY, FIRST, FILE = 10, 2048, 64, 4096, 100, 4096, 8192
 
 
 class Tree:
-    """A KD-tree over integer vectors (float64 holds them exactly); nodes in arrays, leaves are ranges of rows."""
+    """A KD-tree over integer vectors (float64, or Python integers); nodes in arrays, leaves are ranges of rows."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.arange(len(ids))
@@ -62,9 +65,9 @@ class Tree:
         """[query, node]: no vector of the node scores more."""
         return np.maximum(q, 0) @ self.high.T + np.minimum(q, 0) @ self.low.T
 
-    def best(self, q: np.ndarray, own: int, bound: np.ndarray, kth: float, k: int) -> list[tuple[int, int]]:
-        """(score, -id) of the k best, none under kth."""
-        heap, found = [(-bound[0], 0)], []
+    def best(self, q: np.ndarray, own: int, bound: np.ndarray, kth: float, k: int, found: list[tuple[int, int]]) -> float:
+        """Puts (score, -id) of this tree's vectors into the heap `found` of the k best so far; gives the new kth score."""
+        heap = [(-bound[0], 0)]
         while heap and -heap[0][0] >= kth:
             _, node = heapq.heappop(heap)
             a, b = self.kids[node]
@@ -83,13 +86,13 @@ class Tree:
                         heapq.heapreplace(found, item)
             if len(found) == k:
                 kth = max(kth, found[0][0])
-        return sorted(found, reverse=True)
+        return kth
 
 
 def _matrix(values: pa.Array) -> np.ndarray:
     """Rows of integers as float64 (objects if sums of products could pass 2**53), shorter ones filled with zeros."""
-    size = np.diff(np.asarray(values.offsets))
-    wide = int(size.max(initial=0))
+    size = np.asarray(pc.list_value_length(values), np.int64)
+    wide = int(size.max(initial=1))
     flat = np.asarray(values.flatten(), np.float64)
     x = np.zeros((len(values), wide))
     x[np.arange(wide)[None, :] < size[:, None]] = np.floor(flat * 1024)
@@ -105,57 +108,64 @@ def _exact(*arrays: np.ndarray) -> list[np.ndarray]:
     return [np.array([[int(v) for v in row] for row in a], object).reshape(a.shape) for a in arrays]
 
 
+def _kth(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list:
+    """For each query the kth score over these vectors, as an integer; minus infinity if there are fewer."""
+    q, x = _exact(q, x)
+    out = []
+    for i in range(len(q)):
+        score = (x @ q[i])[ids != qid[i]]
+        out.append(int(np.partition(score, len(score) - k)[len(score) - k]) if len(score) >= k else -np.inf)
+    return out
+
+
 def _search(held, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = [pa.Table.from_batches([b]) for b in batches if len(b)]
-        out = ([], [], [])
-        if tables and len(held.value[0]):
-            t = pa.concat_tables(tables).combine_chunks()
-            ids, (qid, qv, kth) = t.column("vec_id").to_numpy(), held.value
-            x, q = _exact(_matrix(t.column("embedding").combine_chunks()), qv)
-            tree = Tree(ids, x)
-            for at in range(0, len(q), 512):
-                bound = tree.bounds(q[at : at + 512])
-                for i in range(len(bound)):
-                    for score, minus in tree.best(q[at + i], qid[at + i], bound[i], kth[at + i], k):
-                        out[0].append(qid[at + i])
-                        out[1].append(-minus)
-                        out[2].append(score)
-        yield pa.record_batch([pa.array(c, pa.int64()) for c in out], names=["query_id", "vec_id", "score"])
+        qid, qv, kth = held.value
+        found: list[list[tuple[int, int]]] = [[] for _ in qid]
+        kth = list(kth)
+        for batch in batches:
+            for at in range(0, len(batch) if len(qid) else 0, SHARD):
+                b = batch.slice(at, SHARD)
+                x, q = _exact(_matrix(b.column("embedding")), qv)
+                tree = Tree(b.column("vec_id").to_numpy(), x)
+                for s in range(0, len(q), 512):
+                    bound = tree.bounds(q[s : s + 512])
+                    for i, own in enumerate(bound, s):
+                        if own[0] >= kth[i]:
+                            kth[i] = tree.best(q[i], qid[i], own, kth[i], k, found[i])
+        for s in range(0, len(qid), 512):
+            rows = [(qid[i], -minus, score) for i in range(s, min(s + 512, len(qid))) for score, minus in found[i]]
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 3)], names=["query_id", "vec_id", "score"])
 
     return run
 
 
-def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows of vectors (vec_id, embedding) whose id is divisible by `every`."""
+def candidates(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
+    """query_id, vec_id, score: what the tasks could not rule out, at most k for each query and task."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "topk")
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
-    n = rows.count()
-    shards = max(1, -(-n // SHARD))
-    rows = scratch.put(rows.repartition(shards, F.xxhash64("vec_id", "embedding")), "vectors")
+    rows = scratch.put(rows.repartition(max(1, -(-rows.count() // FILE)), F.xxhash64("vec_id", "embedding")), "vectors")
     asked = rows.where(F.col("vec_id") % every == 0)
     blocks = max(1, -(-asked.count() // BLOCK))
-    first = rows.orderBy(F.xxhash64(F.col("vec_id"), F.lit(17)), "embedding").limit(4 * LEAF + k).toArrow()  # a fixed number of vectors
+    first = rows.orderBy(F.xxhash64(F.col("vec_id"), F.lit(17)), "embedding").limit(FIRST).toArrow()
+    first_id, first_x = first.column("vec_id").to_numpy(), _matrix(first.column("embedding").combine_chunks())
     found = []
     for i in range(blocks):
         some = asked.where(F.pmod(F.xxhash64("vec_id", F.lit(23)), F.lit(blocks)) == i)
         got = some.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).orderBy("vec_id").toArrow()  # BLOCK rows on average
-        qid, q = got.column("vec_id").to_numpy(), _matrix(got.column("embedding").combine_chunks()) if len(got) else np.zeros((0, 0))
-        kth = np.full(len(qid), -np.inf)
-        if len(got) and len(first):
-            a, b = _exact(q, _matrix(first.column("embedding").combine_chunks()))
-            score = (a @ b.T).astype(np.float64)
-            score[qid[:, None] == first.column("vec_id").to_numpy()[None, :]] = -np.inf
-            if score.shape[1] >= k:
-                kth = -np.partition(-score, k - 1, axis=1)[:, k - 1]
-        held = spark.sparkContext.broadcast((qid, q, kth))
-        whole = rows.repartition(shards, F.xxhash64("vec_id", "embedding"))  # a partition is a shard
-        found.append(whole.mapInArrow(_search(held, k), "query_id long, vec_id long, score long"))
+        qid, q = got.column("vec_id").to_numpy(), _matrix(got.column("embedding").combine_chunks())
+        held = spark.sparkContext.broadcast((qid, q, _kth(qid, q, first_id, first_x, k)))
+        found.append(rows.mapInArrow(_search(held, k), "query_id long, vec_id long, score long"))
+    return union_all(found)
+
+
+def top_k(vectors: DataFrame, every: int = EVERY, k: int = K) -> DataFrame:
+    """query_id, rank, vec_id, score for the rows of vectors (vec_id, embedding) whose id is divisible by `every`."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return union_all(found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return candidates(vectors, every, k).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
