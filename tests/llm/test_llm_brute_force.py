@@ -299,7 +299,7 @@ def _edited(rng, text, edits):
 
 @pytest.mark.parametrize("words", [(15, 60), (100, 200)])
 @pytest.mark.parametrize("share", [0.05, 0.07, 0.1])
-def test_decontamination_loses_nothing_within_the_distance(words, share):
+def test_decontamination_of_spread_edits(words, share):
     """Edits spread over the characters, blanks too: every planted passage is found, with its least distance."""
     import pyarrow as pa
 
