@@ -315,16 +315,16 @@ def verified_documents(spark: SparkSession, path: str, scratch: Scratch) -> Data
     def whole(batches):
         tables = _carry_tables()
         for b in batches:
-            parts = b.column("parts").to_pylist()
-            size = np.array([len(p) for p in parts], np.int64)
-            at = np.concatenate([[0], np.cumsum(size)])[:-1]
-            crc = np.fromiter((x["crc"] for p in parts for x in p), np.int64).astype(np.uint32)
-            n = np.fromiter((x["n"] for p in parts for x in p), np.int64)
-            total = np.add.reduceat(n, at)
+            size = np.asarray(pc.list_value_length(b.column("parts")), np.int64)
+            at = np.concatenate([[0], np.cumsum(size)])
+            flat = b.column("parts").flatten()
+            crc, n = np.asarray(flat.field("crc")).astype(np.uint32), np.asarray(flat.field("n")).astype(np.int64)
+            total = np.add.reduceat(n, at[:-1])
             behind = np.repeat(total, size) - (np.cumsum(n) - np.repeat(np.cumsum(total) - total, size))
-            out = np.bitwise_xor.reduceat(join_crcs(crc, 4 * behind, tables), at)
-            for root, p in zip(b.column("root").to_pylist(), parts, strict=True):
-                if merkle([x["digest"] for x in p]) != root:
+            out = np.bitwise_xor.reduceat(join_crcs(crc, 4 * behind, tables), at[:-1])
+            made = flat.field("digest").to_pylist()
+            for root, x, y in zip(b.column("root").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if merkle(made[x:y]) != root:
                     raise ValueError(f"recipe {root.hex()} does not match its chunks")
             yield pa.record_batch([b.column("root"), pa.array(out.astype(np.int64)), pa.array(total)], names=["root", "crc", "n"])
 
