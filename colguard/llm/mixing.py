@@ -45,16 +45,15 @@ def _size_class(size: Column) -> Column:
     return F.floor(size / F.pow(F.lit(2.0), spare)).cast("long") * F.pow(F.lit(2.0), spare).cast("long")
 
 
-def inclusion(size: Column, factor: Column, certain: Column) -> Column:
-    """Probability of a document to be in the sample: 1 above the size class `certain`."""
-    g = _size_class(size)
+def inclusion(g: Column, factor: Column, certain: Column) -> Column:
+    """Probability of a document of size class g to be in the sample: 1 above the class `certain`."""
     return F.when(g > certain, 1.0).otherwise(F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-300), factor * g)))
 
 
-def _rank(size: Column, dice: Column, factor: Column, certain: Column) -> Column:
+def _rank(g: Column, dice: Column, factor: Column, certain: Column) -> Column:
     """The Pareto rank q carried to q / (1 + q), so that it lies in 0 to 1."""
     u = (F.shiftrightunsigned(dice, 11).cast("double") + 0.5) / float(1 << 53)
-    p = inclusion(size, factor, certain)
+    p = inclusion(g, factor, certain)
     q = (u / (1 - u)) * ((1 - p) / p)
     return F.when(p < 1, F.when(q < 1e300, q / (1 + q)).otherwise(1.0))
 
@@ -77,7 +76,7 @@ def targets(sizes: DataFrame, scratch: Scratch, most: int = 3) -> DataFrame:
 
 def _with_factors(per: DataFrame, base: DataFrame) -> DataFrame:
     """per with factor and certain (documents of a size class above it are certain) and left (words for the others)."""
-    sums = base.where("size > 0").groupBy("source", _size_class(F.col("size")).alias("g")).agg(F.sum("size").alias("words"))
+    sums = base.where("size > 0").groupBy("source", "g").agg(F.sum("size").alias("words"))
     of = Window.partitionBy("s").orderBy(F.desc("g"))  # a row for each size class
     named = per.select(F.col("source").alias("s"), "rest")
     c = sums.join(named, sums["source"].eqNullSafe(named["s"])).where("rest > 0")
@@ -113,17 +112,17 @@ def _repeated(base: DataFrame, scratch: Scratch) -> DataFrame | None:
 
 def plan(docs: DataFrame, scratch: Scratch, most: int = 3, seed: int = 7) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """A row for each source: source, source_size, target, copies, rest, factor, certain, left, cut (rank), cut_dice;
-    the documents as (doc_id, source, size, dice); the dice that come again. A document is in the sample if it is
+    the documents as (doc_id, source, size, dice, g); the dice that come again. A document is in the sample if it is
     certain or (rank, dice) is not above the cut."""
     base = docs.select(F.col("doc_id").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), _dice(F.col("doc_id"), F.col("text"), seed).alias("dice"))
-    raw = scratch.put(base, "sizes")
+    raw = scratch.put(base.withColumn("g", _size_class(F.col("size"))), "sizes")
     repeated = _repeated(raw, scratch)
     base = raw if repeated is None else scratch.put(_numbered(raw, repeated, "dice", scratch), "numbered")
     per = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), scratch, most)
     per = scratch.put(_with_factors(scratch.put(per, "targets"), base), "factors")
     named = per.select(F.col("source").alias("s"), "factor", "certain", "left")
     rows = base.join(named, base["source"].eqNullSafe(named["s"])).where((F.col("size") > 0) & (F.col("left") > 0))
-    rows = rows.select("s", "size", "dice", _rank(F.col("size"), F.col("dice"), F.col("factor"), F.col("certain")).alias("rank")).where("rank IS NOT NULL")
+    rows = rows.select("s", "size", "dice", _rank(F.col("g"), F.col("dice"), F.col("factor"), F.col("certain")).alias("rank")).where("rank IS NOT NULL")
     edges = named.select("s", "left", F.lit(0.0).alias("low"), F.lit(1.0).alias("wide"))
     for level in range(6):  # 1024 ** 6 steps are finer than a double
         e = edges.select(F.col("s").alias("es"), "left", "low", "wide")
@@ -154,9 +153,9 @@ def plan(docs: DataFrame, scratch: Scratch, most: int = 3, seed: int = 7) -> tup
     return scratch.put(out, "plan"), base, repeated
 
 
-def _copies(size: Column, dice: Column, of) -> Column:
+def _copies(size: Column, g: Column, dice: Column, of) -> Column:
     """How often the mix takes a document; of(name) gives a column of its source."""
-    rank = _rank(size, dice, of("factor"), of("certain"))
+    rank = _rank(g, dice, of("factor"), of("certain"))
     into = rank.isNull() | (rank < of("cut")) | ((rank == of("cut")) & (dice <= of("cut_dice")))
     return F.when(size > 0, of("copies") + F.when(of("left").isNotNull(), into.cast("long")).otherwise(0)).otherwise(0).cast("long")
 
@@ -167,7 +166,7 @@ def mix(docs: DataFrame, most: int = 3, seed: int = 7) -> DataFrame:
     sources, base, _ = plan(docs, scratch, most, seed)
     named = sources.withColumnRenamed("source", "__s")
     out = base.join(named, base["source"].eqNullSafe(named["__s"]), "left")
-    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies(F.col("size"), F.col("dice"), F.col)).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * _copies(F.col("size"), F.col("g"), F.col("dice"), F.col)).alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, most: int = 3, seed: int = 7) -> DataFrame:
@@ -176,8 +175,8 @@ def mixed_documents(docs: DataFrame, most: int = 3, seed: int = 7) -> DataFrame:
     sources, _, repeated = plan(docs, scratch, most, seed)
     per = sources.select(F.struct("*").alias("__mix"))
     rows = _numbered(docs.withColumn("__dice", _dice(F.col("doc_id"), F.col("text"), seed)), repeated, "__dice", scratch)
-    rows = rows.join(per, F.col("source").cast("string").eqNullSafe(F.col("__mix.source"))).withColumn("__size", n_words(F.col("text")))
-    times = _copies(F.col("__size"), F.col("__dice"), lambda c: F.col(f"__mix.{c}"))
+    rows = rows.join(per, F.col("source").cast("string").eqNullSafe(F.col("__mix.source"))).withColumn("__size", n_words(F.col("text"))).withColumn("__g", _size_class(F.col("__size")))
+    times = _copies(F.col("__size"), F.col("__g"), F.col("__dice"), lambda c: F.col(f"__mix.{c}"))
     return rows.withColumn("__n", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
