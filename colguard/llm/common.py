@@ -21,10 +21,12 @@ _OWN: dict[str, str] = {}
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; a local one of our own only where that is unset (tests)."""
+    """The folder that spark.checkpoint.dir names; a local one of our own only where that is unset and the master is local."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if spark.conf.get("spark.master", "").split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="colguard-")
         atexit.register(shutil.rmtree, _OWN["dir"], ignore_errors=True)
@@ -78,6 +80,26 @@ def running(scratch: Scratch, df: DataFrame, order: list[Column], sums: dict[str
     return out.drop("__part", *held, *keys, *[f"{k}b" for k in held])
 
 
+#: At most so many keys count as hot
+HOT_KEYS = 100_000
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """__hot, __parts: the keys that more than max(1000, total / HOT_KEYS) of `total` rows share, so HOT_KEYS at most,
+    and into how many parts their rows are to be dealt."""
+    most = max(1000, total // HOT_KEYS)
+    return counts.where(F.col(n) > most).select(F.col(key).alias("__hot"), F.ceil(F.col(n) / most).cast("int").alias("__parts"))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, hot: DataFrame, salt: list[str], how: str = "inner") -> DataFrame:
+    """left joined with right on key, by merge; a hot key's rows on the left are dealt into parts by the columns `salt`,
+    and its rows on the right (few) are given to each part."""
+    hot = F.broadcast(hot)  # HOT_KEYS rows at most
+    salted = left.join(hot, left[key] == hot["__hot"], "left").withColumn("__salt", F.pmod(F.xxhash64(*salt), F.coalesce("__parts", F.lit(1))).cast("int")).drop("__hot", "__parts")
+    copies = right.join(hot, right[key] == hot["__hot"], "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__hot", "__parts")
+    return salted.join(copies.hint("merge"), [key, "__salt"], how).drop("__salt")
+
+
 def union_all(tables: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tables)
 

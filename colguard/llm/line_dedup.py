@@ -57,17 +57,17 @@ def hashed(docs: DataFrame, scratch: Scratch, site: str = "source", least_chars:
 
 
 def _only(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """The rows whose line is among `lines` (distinct)."""
+    """The rows (k1, k2, line) whose line is among `lines` (distinct)."""
     if lines.count() <= BROADCAST:
         return rows.join(F.broadcast(lines.select("line")), "line", "left_semi")
     salted = lines.select("line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    salt = F.pmod(F.xxhash64("k1", "k2"), F.lit(SALTS)).cast("int")
     return rows.withColumn("salt", salt).join(salted.hint("merge"), ["line", "salt"], "left_semi").drop("salt")
 
 
 def boilerplate(table: DataFrame, scratch: Scratch, sites: int = 10, margin: float = 0.1) -> DataFrame:
     """line (hash), n_sites: the lines of hashed() on at least `sites` sites."""
-    rows = table.select("site", F.explode(F.array_distinct("lines")).alias("line")).where("line IS NOT NULL")
+    rows = table.select("k1", "k2", "site", F.explode(F.array_distinct("lines")).alias("line")).where("line IS NOT NULL")
     spread = rows.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(SKETCH))).alias("guess"))
     spread = scratch.put(spread.where(F.col("guess") >= sites * (1 - margin)), "spread")
     sure = F.col("guess") > sites * (1 + margin)
