@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colguard.llm.common import Scratch, Words, hash_words, mix64, odd_constants, slices
+from colguard.llm.common import Scratch, Words, hash_words, hot_keys, mix64, odd_constants, salted_join, slices
 
-SHINGLE, BUCKET_BITS, MANTISSA, BANDS, BLOCK = 5, 7, 10, 32, 256
+SHINGLE, BUCKET_BITS, MANTISSA, BANDS, BLOCK, BLOCK_BYTES = 5, 7, 10, 32, 256, 16 << 20
 REGISTERS = 1 << BUCKET_BITS
 ROWS = REGISTERS // BANDS
 _REST = 64 - BUCKET_BITS
@@ -183,16 +183,18 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, label (the least node it is connected with) of all nodes of edges (a, b): each step ties every
     neighbour to the least one, first those above a node, then those below, until nothing changes."""
     e = scratch.put(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name)
-    last = None
+    last, n = None, e.count()
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = scratch.put(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct(), f"{name}-large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = scratch.put(large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-small")
+        least = scratch.put(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")).select("u", F.least("u", "m").alias("m"), "c"), f"{name}-least")
+        ends = both.where("v > u")
+        large = scratch.put(salted_join(ends, least.drop("c"), "u", hot_keys(least, "u", "c", 2 * n), ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.where("m < u").select("u", F.col("m").alias("v"))).where("u <> v").distinct(), f"{name}-large")
+        scratch.drop(least)
+        least = scratch.put(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")), f"{name}-least")
+        small = scratch.put(salted_join(large, least.drop("c"), "u", hot_keys(least, "u", "c", 2 * n), ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", F.col("m").alias("v"))).distinct(), f"{name}-small")
         now = tuple(small.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).head())
-        scratch.drop(e, large)
-        e = small
+        scratch.drop(e, large, least)
+        e, n = small, now[0]
         if now == last or not now[0]:
             break
         last = now
@@ -206,33 +208,36 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     floor = percent / 100 - 5 * (percent / 100 * (1 - percent / 100) / REGISTERS) ** 0.5  # five standard deviations
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.put(rows.mapInArrow(_sign, "doc_id long, n long, key binary, sig binary"), "signed")
-    nodes = scratch.put(signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig")), "nodes")
+    alike = signed.where("key IS NOT NULL AND doc_id IS NOT NULL").groupBy("key")
+    nodes = scratch.put(alike.agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.count("*").alias("copies")), "nodes")
 
-    bands = nodes.select("node", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))).alias("band", "part"))
-    bands = scratch.put(bands.select("node", F.xxhash64("band", "part").alias("bucket")), "bands")
+    bands = nodes.select("node", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))).alias("band", "part"))
+    bands = scratch.put(bands.select("node", "n", F.xxhash64("band", "part").alias("bucket")), "bands")
     shared = bands.groupBy("bucket").agg(F.min("node").alias("pivot"), F.count("*").alias("c"), F.expr("bit_xor(xxhash64(node))").alias("who")).where("c > 1")
     # bands often hold the same nodes: one bucket of each set of nodes is enough
     shared = scratch.put(shared.groupBy("pivot", "c", "who").agg(F.min("bucket").alias("bucket")), "shared")
-    members = scratch.put(bands.join(shared.select("bucket", "pivot"), "bucket"), "members")
+    hot = scratch.put(hot_keys(shared, "bucket", "c", bands.count()), "hot")
+    members = scratch.put(salted_join(bands, shared.select("bucket", "pivot"), "bucket", hot, ["node"]), "members")
     scratch.drop(bands)
     asked = members.select("node").distinct()
     sets = scratch.put(rows.join(asked.hint("merge"), rows["doc_id"] == asked["node"], "left_semi").mapInArrow(_sets, "doc_id long, hashes binary"), "sets")
     sets = sets.select(F.col("doc_id").alias("node"), "hashes")
     mine = nodes.select("node", "n", "sig")
 
-    first = members.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot"))
-    pairs = first.join(sets.withColumnRenamed("hashes", "hb").hint("merge"), "node").withColumnRenamed("node", "b")
-    pairs = pairs.join(sets.select(F.col("node").alias("pivot"), F.col("hashes").alias("ha")).hint("merge"), "pivot").withColumnRenamed("pivot", "a")
-    edges = scratch.put(pairs.select("a", "b", "ha", "hb").mapInArrow(_confirm(percent), "a long, b long"), "edges")
+    first = scratch.put(members.where("node <> pivot").groupBy("node").agg(F.min("pivot").alias("pivot")), "first")
+    pairs = first.join(sets.withColumnRenamed("hashes", "hb").hint("merge"), "node")
+    asked_often = scratch.put(hot_keys(first.groupBy("pivot").agg(F.count("*").alias("c")), "pivot", "c", first.count()), "pivots")
+    pairs = salted_join(pairs, sets.select(F.col("node").alias("pivot"), F.col("hashes").alias("ha")), "pivot", asked_often, ["node"])
+    edges = scratch.put(pairs.select(F.col("pivot").alias("a"), F.col("node").alias("b"), "ha", "hb").mapInArrow(_confirm(percent), "a long, b long"), "edges")
     found = scratch.put(components(edges, scratch, "first"), "labels")
 
-    label = members.join(found, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label"))
+    label = members.join(found.hint("merge"), "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
     # in a bucket only the nodes outside its most frequent component meet the others, in blocks; those inside are joined
-    sizes = label.groupBy("bucket", "label").agg(F.count("*").alias("c"))
-    open_ = sizes.groupBy("bucket").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("c"), F.count("*").alias("labels")).where("labels > 1")
-    count = lambda c: F.ceil(c / BLOCK).cast("int")
-    open_ = open_.select("bucket", F.col("top.label").alias("major"), count(F.col("c") - F.col("top.c")).alias("minors"), count(F.col("top.c")).alias("majors"))
-    inside = label.join(open_, "bucket").withColumn("minor", F.col("label") != F.col("major"))
+    sizes = label.groupBy("bucket", "label").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    open_ = sizes.groupBy("bucket").agg(F.max(F.struct("c", "label", "n")).alias("top"), F.sum("c").alias("c"), F.sum("n").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    count = lambda c, n: F.ceil(F.greatest(c / BLOCK, n * 8 / BLOCK_BYTES)).cast("int")
+    open_ = open_.select("bucket", F.col("top.label").alias("major"), count(F.col("c") - F.col("top.c"), F.col("n") - F.col("top.n")).alias("minors"), count(F.col("top.c"), F.col("top.n")).alias("majors"))
+    inside = salted_join(label, scratch.put(open_, "open"), "bucket", hot, ["node"]).withColumn("minor", F.col("label") != F.col("major"))
     # blocks 0 to minors - 1 hold the nodes outside, those from `minors` on the nodes inside
     block = F.when(F.col("minor"), F.pmod(F.xxhash64("node", F.lit(5)), F.col("minors"))).otherwise(F.col("minors") + F.pmod(F.xxhash64("node", F.lit(5)), F.col("majors")))
     inside = inside.withColumn("block", block.cast("int"))
@@ -243,8 +248,11 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     more = met.groupBy("bucket", "i", "j").applyInArrow(_block_edges(percent, floor), "a long, b long")
     more = scratch.put(more.distinct(), "more")
     final = scratch.put(components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), scratch, "last"), "components")
-    by_key = nodes.join(final, "node", "left").select("key", F.coalesce("label", "node").alias("component"))
-    out = signed.join(by_key, "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    by_key = nodes.join(final.hint("merge"), "node", "left").select("key", F.coalesce("label", "node").alias("component"))
+    empty = signed.where("key IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))  # linked with nothing
+    copies = scratch.put(hot_keys(nodes, "key", "copies", signed.count()), "copies")
+    out = salted_join(signed.where("key IS NOT NULL"), by_key, "key", copies, ["doc_id"], "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).union(empty)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
