@@ -8,7 +8,8 @@ A VARIANT input is tested at run time; any other type settles most type tests he
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -16,26 +17,38 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colguard import regexes
-from colguard.issues import issue, none, size_message, wrong_type
-from colguard.nodes import Check, Schema, UnsupportedInSpark
+from colguard.issues import Message, issue, none, size_message, wrong_type
+from colguard.nodes import Check, Schema, UnsupportedInSpark, is_recursive, resolved, walk
 
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
-@dataclass
 class Node:
-    value: Column
-    ok: Column
-    issues: Callable[[], Column]  # built when asked for: validate() never needs them
-    aborted: Column
-    dirty: Column | None  # None: never
-    dtype: T.DataType
+    """aborted may be given as a function, so that it is only built where it is asked for."""
+
+    def __init__(self, value: Column, ok: Column, issues: Callable[[], Column], aborted: Column | Callable[[], Column], dirty: Column | None, dtype: T.DataType):
+        self.value, self.ok, self.dirty, self.dtype = value, ok, dirty, dtype  # dirty None: never
+        self.issues = issues  # built when asked for: validate() never needs them
+        self._aborted = aborted
+
+    @property
+    def aborted(self) -> Column:
+        if not isinstance(self._aborted, Column):
+            self._aborted = self._aborted()
+        return self._aborted
 
 
 @dataclass(frozen=True)
 class Options:
     dialect: str = "v4"
     null_means: str = "undefined"
+    messages: dict[str, Message] = field(default_factory=dict)
+    own: dict[str, Message] = field(default_factory=dict)  # of the schema that is lowered
+    open: tuple[int, ...] = ()  # lazy schemas on the way here
+
+    @property
+    def maps(self) -> tuple[dict[str, Message], ...]:
+        return tuple(m for m in (self.messages, self.own) if m)
 
 
 def both(a: Column | None, b: Column | None) -> Column | None:
@@ -89,7 +102,7 @@ _NUM = ["BIGINT", "DOUBLE", "FLOAT", "DECIMAL"]
 
 
 def _leaf(name: str, ok: Column, value: Column, dtype: T.DataType, i: In, path: list[Column], said=None) -> Node:
-    return Node(value, ok, lambda: F.when(ok, none()).otherwise(F.array(said() if said else wrong_type(path, name, i.received()))), ~ok, None, dtype)
+    return Node(value, ok, lambda: F.when(ok, none()).otherwise(F.array(said() if said else wrong_type(path, name, i.received(), i.opt.maps))), ~ok, None, dtype)
 
 
 def _length(x: Column, opt: Options) -> Column:
@@ -97,13 +110,12 @@ def _length(x: Column, opt: Options) -> Column:
     return F.length(x) if opt.dialect == "v4" else (F.octet_length(F.encode(x, "UTF-16BE")) / 2).cast("int")
 
 
-def _java(pattern: str) -> str:
-    """JavaScript's $ at the end is the very end."""
-    return pattern[:-1] + r"\z" if pattern.endswith("$") and not pattern.endswith(r"\$") else pattern
-
-
 def _format(x: Column, name: str, args: dict) -> Column:
     match = lambda p: x.rlike(p)
+    if "test" in args:
+        return match(regexes.java(args["test"])) if isinstance(args["test"], str) else F.coalesce(args["test"](x), F.lit(False))
+    if name == "emoji":
+        return match(regexes.emoji())
     if name in ("ip", "cidr"):
         kinds = {"v4": [f"{name}v4"], "v6": [f"{name}v6"], None: [f"{name}v4", f"{name}v6"]}[args.get("version")]
         return reduce(lambda a, b: a | b, [match(regexes.FORMATS[k]) for k in kinds])
@@ -126,34 +138,55 @@ def _format(x: Column, name: str, args: dict) -> Column:
     return match(regexes.FORMATS[name])
 
 
-def _test(of: str, c: Check, v: Column, opt: Options, path: list[Column]) -> list[tuple[Column, Callable[[], Column]]]:
-    """Each part of a check: whether it holds, and the issue if not."""
+def _whole(v: Column, dtype: T.DataType, n) -> Column:
+    """Whether v is a multiple of n: in decimal digits, the longer fraction of the two sets the scale. A number under a
+    millionth is first rounded to that many places, where its short text in exponent form counts as a fraction."""
+    if n == 0:
+        return F.lit(False)
+    if isinstance(dtype, T.ByteType | T.ShortType | T.IntegerType | T.LongType) and float(n).is_integer():
+        return v % F.lit(int(n)) == 0
+    exact = lambda kind: F.try_mod(F.expr("1") * v.try_cast(kind), F.lit(format(n, "f") if isinstance(n, int) else format(Decimal(repr(n)), "f")).cast(kind)) == 0
+    x = F.abs(v.cast("double"))
+    text = F.regexp_extract(x.cast("string"), r"^(\d)\.(\d+)E-(\d+)", 2)
+    count = F.when(text.isin("0", ""), 0).otherwise(F.length(text) + 2 + F.length(F.regexp_extract(x.cast("string"), r"E-(\d+)", 1)))
+    places = max(0, -Decimal(repr(n)).as_tuple().exponent) if not float(n).is_integer() else 0
+    up = F.pow(F.lit(10.0), F.greatest(count, F.lit(places)))
+    tiny = F.floor(x * up + 0.5).try_cast("decimal(38,0)") % F.greatest(F.floor(F.lit(abs(float(n))) * up + 0.5), F.lit(1)).try_cast("decimal(38,0)") == 0
+    return F.coalesce(F.when((x > 0) & (x < 1e-6), tiny).when(x < 1e15, exact("decimal(38,22)")).otherwise(exact("decimal(38,6)")), F.lit(False))
+
+
+def _test(of: str, c: Check, v: Column, dtype: T.DataType, opt: Options, path: list[Column], skip: bool) -> list[tuple[Column, Callable[[], Column]]]:
+    """Each part of a check: whether it holds, and the issue if not. skip: sizes of a null value hold."""
     a = c.args
+    say = lambda code, said, **params: issue(code, path, said, c.message, opt.maps, **params)
     sized = {"string": lambda: _length(v, opt), "array": lambda: F.size(v), "set": lambda: F.size(v), "map": lambda: F.size(v)}
     q = sized[of]() if of in sized else v
+    fits = lambda ok: v.isNull() | ok if skip and of in sized else ok
     if c.kind in ("min", "max"):
         n, inc = a["value"], a["inclusive"]
+        said = size_message(c.kind, of, n, inc, False)
         ok = (q >= n if inc else q > n) if c.kind == "min" else (q <= n if inc else q < n)
         code, word = ("too_small", "minimum") if c.kind == "min" else ("too_big", "maximum")
-        return [(ok, lambda: issue(code, path, c.message or size_message(c.kind, of, n, inc, False), **{word: n}, type=of, inclusive=inc, exact=False))]
+        return [(fits(ok), lambda: say(code, said, **{word: n}, type=of, inclusive=inc, exact=False))]
     if c.kind == "length":
         n, out = a["value"], []
         for kind, code, word, ok in (("max", "too_big", "maximum", q <= n), ("min", "too_small", "minimum", q >= n)):
-            out.append((ok, lambda kind=kind, code=code, word=word: issue(code, path, c.message or size_message(kind, of, n, True, True), **{word: n}, type=of, inclusive=True, exact=True)))
+            said = size_message(kind, of, n, True, True)
+            out.append((fits(ok), lambda code=code, word=word, said=said: say(code, said, **{word: n}, type=of, inclusive=True, exact=True)))
         return out
     if c.kind == "int":
         ok = (F.rint(v.cast("double")) == v) & (F.abs(v) < float("inf"))
         ok = ok & (F.abs(v) <= 9007199254740991) if opt.dialect == "v4" else ok
-        return [(ok, lambda: issue("invalid_type", path, c.message or "Expected integer, received float", expected="integer", received="float"))]
+        return [(ok, lambda: say("invalid_type", "Expected integer, received float", expected="integer", received="float"))]
     if c.kind == "finite":
-        return [(F.abs(v) < float("inf"), lambda: issue("not_finite", path, c.message or "Number must be finite"))]
+        return [(F.abs(v) < float("inf"), lambda: say("not_finite", "Number must be finite"))]
     if c.kind == "multiple_of":
         n = a["value"]
-        ok = v % F.lit(n) == 0 if of == "bigint" else F.coalesce(F.try_mod(F.expr("1") * v.try_cast("decimal(38,12)"), F.lit(str(n)).cast("decimal(38,12)")) == 0, F.lit(False))
-        return [(ok, lambda: issue("not_multiple_of", path, c.message or f"Number must be a multiple of {n}", multipleOf=n))]
+        ok = v % F.lit(n) == 0 if of == "bigint" else _whole(v, dtype, n)
+        return [(ok, lambda: say("not_multiple_of", f"Number must be a multiple of {n}", multipleOf=n))]
     if c.kind in ("regex", "includes", "starts_with", "ends_with", "format"):
         if c.kind == "regex":
-            ok, name, said = v.rlike(_java(a["pattern"])), "regex", "Invalid"
+            ok, name, said = v.rlike(regexes.java(a["pattern"], a.get("flags", ""))), "regex", "Invalid"
         elif c.kind == "includes":
             ok = F.locate(a["part"], v, a["position"] + 1) > 0 if a["position"] else v.contains(a["part"])
             name, said = "includes", f'Invalid input: must include "{a["part"]}"'
@@ -163,13 +196,13 @@ def _test(of: str, c: Check, v: Column, opt: Options, path: list[Column]) -> lis
             ok, name, said = v.endswith(a["part"]), "endsWith", f'Invalid input: must end with "{a["part"]}"'
         else:
             ok, name, said = _format(v, a["name"], a), a["name"], f"Invalid {a['name']}"
-        return [(ok, lambda: issue("invalid_string", path, c.message or said, validation=name))]
+        return [(ok, lambda: say("invalid_string", said, validation=name))]
     if c.kind == "refine":
-        return [(F.coalesce(a["f"](v), F.lit(False)), lambda: issue("custom", [*path, *[F.lit(p) for p in a["path"]]], c.message))]
+        return [(F.coalesce(a["f"](v), F.lit(False)), lambda: issue("custom", [*path, *[F.lit(p) for p in a["path"]]], "Invalid input", c.message, opt.maps))]
     if c.kind == "refine_udf":
         import pandas as pd  # noqa: F401
 
-        return [(F.coalesce(F.pandas_udf(a["f"], "boolean")(v), F.lit(False)), lambda: issue("custom", path, c.message))]
+        return [(F.coalesce(F.pandas_udf(a["f"], "boolean")(v), F.lit(False)), lambda: issue("custom", path, "Invalid input", c.message, opt.maps))]
     raise UnsupportedInSpark(f"check {c.kind!r} on {of}")
 
 
@@ -178,48 +211,70 @@ _REWRITES = {"trim": lambda v: F.regexp_replace(v, rf"^{regexes.SPACE}+|{regexes
 
 #: Leaves whose ok is false wherever their value is null, and checks that are null on a null value only: there ok needs
 #: no coalesce, which would keep the check from the scan.
+_WRAPPERS = ("optional", "nullable", "default", "prefault", "catch", "readonly", "brand", "nonoptional", "lazy")
 _LEAVES, _PLAIN = ("string", "number", "bigint", "date"), ("min", "max", "length", "regex", "includes", "starts_with", "ends_with")
 
 
-def _checked(of: str, node: Node, checks: tuple[Check, ...], opt: Options, path: list[Column], variant: bool) -> Node:
+def _fatal(found: Column) -> Column:
+    return F.exists(found, lambda x: F.coalesce(x["params"]["fatal"] == "true", F.lit(False)))
+
+
+def _checked(of: str, s: Schema, node: Node, opt: Options, path: list[Column], variant: bool) -> Node:
     """Checks run in order on the value; a failed check leaves the value in place (dirty), an aborting one ends the rest."""
-    v, ok, dirty, aborted, said = node.value, node.ok, node.dirty, node.aborted, []
-    bare = of in _LEAVES and not variant
-    go = ~node.aborted
-    for c in checks:
+    v, ok, dirty = node.value, node.ok, node.dirty
+    bare = s.kind in _LEAVES and not variant
+    skip = s.kind in _WRAPPERS
+    steps: list[tuple[Column, Column | None, Callable[[], Column], bool, Column | None]] = []  # good, when, issues, many, ends the rest
+    for c in s.checks:
         if c.kind in _REWRITES or c.kind == "overwrite":
             new = _REWRITES[c.kind](v) if c.kind in _REWRITES else c.args["f"](v)
             dirty = both(dirty, F.coalesce(~new.eqNullSafe(v), F.lit(False)))
             v, bare = new, bare and c.kind != "overwrite"
             continue
+        ends, many = None, True
         if c.kind == "super_refine":
-            found = c.args["f"](v)
-            parts = [(F.size(found) == 0, lambda found=found: found)]
-            many = True
+            found = F.coalesce(c.args["f"](v), none())
+            parts, ends = [(F.size(found) == 0, lambda found=found: found)], _fatal(found)
         elif c.kind == "property":
             t = node.dtype[c.args["name"]].dataType
             child = lower(c.args["schema"], In(v[c.args["name"]], t, opt), [*path, F.lit(c.args["name"])])
-            parts, many = [(child.ok, child.issues)], True
+            parts = [(child.ok, child.issues)]
         else:
-            parts, many = _test(of, c, v, opt, path), False
+            parts, many = _test(of, c, v, node.dtype, opt, path, skip), False
         for good, issue_of in parts:
             plain, good = good, F.coalesce(good, F.lit(False))
-            run = go if c.when is None else go & F.coalesce(c.when(v), F.lit(False))
-            ok = ok & (plain if bare and c.when is None and c.kind in _PLAIN else good if c.when is None else ~F.coalesce(c.when(v), F.lit(False)) | good)
-            said.append((run & ~good, issue_of, many))
-            if c.abort:
-                aborted = aborted | ~good
-                go = go & good
+            when = None if c.when is None else F.coalesce(c.when(v), F.lit(False))
+            ok = ok & (plain if bare and when is None and c.kind in _PLAIN else good if when is None else ~when | good)
+            steps.append((good, when, issue_of, many, ~good if c.abort else ends))
+        if c.kind == "super_refine" and c.args["value"] is not None:
+            new = c.args["value"](v)
+            dirty = both(dirty, F.coalesce(~new.eqNullSafe(v), F.lit(False)))
+            v, bare = new, False
+
+    def aborted() -> Column:
+        ends = [e for *_, e in steps if e is not None]
+        return reduce(lambda a, b: a | b, ends, node.aborted) if ends else node.aborted
 
     def issues() -> Column:
-        own = [F.when(bad, f() if many else F.array(f())).otherwise(none()) for bad, f, many in said]
+        own, go = [], ~node.aborted
+        for good, when, f, many, ends in steps:
+            bad = (go if when is None else go & when) & ~good
+            own.append(F.when(bad, f() if many else F.array(f())).otherwise(none()))
+            go = go if ends is None else go & ~ends
         return F.concat(node.issues(), *own) if own else node.issues()
 
     return Node(v, ok, issues, aborted, dirty, node.dtype)
 
 
 def _string_of_number(x: Column) -> Column:
-    return F.when(F.isnan(x), "NaN").when(x == float("inf"), "Infinity").when(x == float("-inf"), "-Infinity").when((F.rint(x) == x) & (F.abs(x) < 1e15), x.cast("long").cast("string")).otherwise(x.cast("string"))
+    """A double's text as JavaScript writes it."""
+    size = F.abs(x)
+    digits = lambda kind: F.regexp_replace(F.regexp_replace(x.cast(kind).cast("string"), r"(\.\d*?)0+\z", "$1"), r"\.\z", "")
+    short = F.regexp_replace(F.regexp_replace(x.cast("string"), r"(\.0)?E-", "e-"), r"(\.0)?E(?=\d)", "e+")
+    return (
+        F.when(F.isnan(x), "NaN").when(x == float("inf"), "Infinity").when(x == float("-inf"), "-Infinity").when((F.rint(x) == x) & (size < 1e15), x.cast("long").cast("string"))
+        .when((size >= 1e-6) & (size < 1e15), digits("decimal(38,22)")).when((size >= 1e15) & (size < 1e21), digits("decimal(38,6)")).otherwise(short)
+    )
 
 
 def _coerce(kind: str, i: In) -> In:
@@ -261,13 +316,30 @@ def lower(s: Schema, i: In, path: list[Column]) -> Node:
     made = _LOWER.get(s.kind)
     if made is None:
         raise UnsupportedInSpark(f"schema kind {s.kind!r}")
+    own = s.args.get("messages", {})
+    if own or i.opt.own:
+        i = In(i.x, i.dtype, replace(i.opt, own=own), i.present)
     if s.args.get("coerce"):
         i = _coerce(s.kind, i)
     node = made(s, i, path)
-    return _checked(_OF.get(s.kind, s.kind), node, s.checks, i.opt, path, i.variant) if s.checks else node
+    return _checked(_kind(s, node.dtype), s, node, i.opt, path, i.variant) if s.checks else node
 
 
-_OF = {"tuple": "array", "record": "map", "any": "any"}
+_OF = {"tuple": "array", "record": "map", "discriminated": "object"}
+_KINDS = ("string", "number", "bigint", "date", "array", "set", "map", "object")
+
+
+def _kind(s: Schema, dtype: T.DataType) -> str:
+    """What a schema's checks measure: its own kind, that of what it wraps, or else that of the values' type."""
+    k = _OF.get(s.kind, s.kind)
+    if k in _KINDS:
+        return k
+    if s.kind in _WRAPPERS or s.kind == "pipe":
+        return _kind(s.args["out"] if s.kind == "pipe" else resolved(s) if s.kind == "lazy" else s.args["inner"], dtype)
+    for name, kinds in (("string", T.StringType), ("number", NUMBERS), ("date", (T.TimestampType, T.DateType, T.TimestampNTZType)), ("array", T.ArrayType), ("map", T.MapType), ("object", T.StructType)):
+        if isinstance(dtype, kinds):
+            return name
+    return k
 
 
 def _basic(i: In, kind: str) -> tuple[Column, Column]:
@@ -306,7 +378,8 @@ def _bigint(s, i, path):
 
 def _date(s, i, path):
     ok, v = i.typed((T.TimestampType, T.DateType, T.TimestampNTZType), "timestamp", ["TIMESTAMP"])
-    return _leaf("date", ok, v, T.TimestampType() if i.variant else i.dtype, i, path)
+    said = (lambda: issue("invalid_date", path, "Invalid date", maps=i.opt.maps)) if s.args.get("coerce") else None
+    return _leaf("date", ok, v, T.TimestampType() if i.variant else i.dtype, i, path, said)
 
 
 def _null(s, i, path):
@@ -339,9 +412,10 @@ def _literal(s, i, path):
     ok = reduce(lambda a, b: a | b, [i.null() if v is None else _value_test(lambda k: _basic(i, k), v) for v in vs])
     first = next((v for v in vs if v is not None), None)
     kind = "boolean" if isinstance(first, bool) else "number" if isinstance(first, int | float) else "string"
-    value = _basic(i, kind)[1] if i.variant else i.x
-    dtype = {"boolean": T.BooleanType(), "number": T.DoubleType(), "string": T.StringType()}[kind] if i.variant else i.dtype
-    said = lambda: issue("invalid_literal", path, f"Invalid literal value, expected {_quoted(vs[0])}", expected=_quoted(vs[0]), received=i.received())
+    one = i.variant and len({"boolean" if isinstance(v, bool) else "number" if isinstance(v, int | float) else "string" for v in vs if v is not None}) <= 1
+    value = _basic(i, kind)[1] if one else i.x
+    dtype = {"boolean": T.BooleanType(), "number": T.DoubleType(), "string": T.StringType()}[kind] if one else i.dtype
+    said = lambda: issue("invalid_literal", path, f"Invalid literal value, expected {_quoted(vs[0])}", expected=_quoted(vs[0]), maps=i.opt.maps, received=i.received())
     return _leaf("literal", ok, value, dtype, i, path, said)
 
 
@@ -360,16 +434,25 @@ def _enum(s, i, path):
         is_, x = _basic(i, "number")
         tests.append(is_ & F.coalesce(x.isin(nums), F.lit(False)))
     ok = F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False)) if nums or i.variant else tests[0] & i.x.isNotNull()
-    is_text, x = _basic(i, "string" if texts else "number")
-    said = lambda: F.when(is_text if not nums else ~i.absent(), issue("invalid_enum_value", path, F.concat(F.lit("Invalid enum value. Expected " + " | ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in vs) + ", received '"), x.cast("string"), F.lit("'")), options=",".join(map(str, vs)), received=x.cast("string"))).otherwise(wrong_type(path, " | ".join(f"'{v}'" for v in vs), i.received()))
-    return _leaf("enum", ok, x if i.variant else i.x, (T.StringType() if texts else T.DoubleType()) if i.variant else i.dtype, i, path, said)
+    (is_text, text), (is_num, num) = _basic(i, "string"), _basic(i, "number")
+    x, given = text if texts else num, F.coalesce(text, _string_of_number(num.cast("double")))
+    known = is_text | is_num if s.kind == "native_enum" else is_text if texts else is_num
+    listed = " | ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in vs)
+    said = lambda: F.when(known, issue("invalid_enum_value", path, F.concat(F.lit(f"Invalid enum value. Expected {listed}, received '"), given, F.lit("'")), maps=i.opt.maps, options=",".join(map(str, vs)), received=given)).otherwise(wrong_type(path, listed, i.received(), i.opt.maps))
+    one = i.variant and not (texts and nums)
+    return _leaf("enum", ok, x if one else i.x, (T.StringType() if texts else T.DoubleType()) if one else i.dtype, i, path, said)
+
+
+def _unknown_keys(extra: Column, path: list[Column], opt: Options) -> Column:
+    said = F.concat(F.lit("Unrecognized key(s) in object: '"), F.array_join(extra, "', '"), F.lit("'"))
+    return F.when(F.size(extra) > 0, F.array(issue("unrecognized_keys", path, said, maps=opt.maps, keys=F.array_join(extra, ",")))).otherwise(none())
 
 
 def _object(s, i, path):
     shape, mode = s.args["shape"], s.args["mode"]
     if i.variant:
-        is_ = i.shape().startswith("OBJECT")
-        held = F.when(is_, F.try_variant_get(i.x, "$", "map<string,variant>"))
+        held = F.try_variant_get(i.x, "$", "map<string,variant>")  # null for whatever is no object
+        is_ = held.isNotNull()
         keys = F.map_keys(held)
         extra = F.array_except(keys, F.array(*[F.lit(k) for k in shape]).cast("array<string>")) if shape else keys
         kids = {k: lower(n, In(F.try_variant_get(i.x, _json_path(k), "variant"), T.VariantType(), i.opt), [*path, F.lit(k)]) for k, n in shape.items()}
@@ -394,24 +477,76 @@ def _object(s, i, path):
     extras: list[Callable[[], Column]] = []
     if mode == "strict":
         ok = ok & ~more
-        extras.append(lambda: F.when(more, F.array(issue("unrecognized_keys", path, F.concat(F.lit("Unrecognized key(s) in object: '"), F.array_join(extra, "', '"), F.lit("'")), keys=F.array_join(extra, ",")))).otherwise(none()))
+        extras.append(lambda: _unknown_keys(extra, path, i.opt))
+    elif mode == "catchall" and i.variant:
+        cells = _Cells(F.map_entries(rest), lambda e, at: [lower(s.args["catchall"], In(e["value"], T.VariantType(), i.opt), [*path, e["key"]])], lambda e, nodes: F.struct(e["key"].alias("key"), nodes[0].value.alias("value")))
+        ok, dirty = ok & cells.ok(), both(dirty, cells.dirty())
+        extras.append(lambda: F.coalesce(cells.issues(), none()))
+        changed = cells.types[0] != T.VariantType() or _changes(s.args["catchall"])
+        fields.append((F.map_from_entries(cells.values()) if changed else rest).alias("_extras"))
+        types.append(T.StructField("_extras", T.MapType(T.StringType(), cells.types[0])))
+    elif mode == "catchall":  # the columns that the shape does not name
+        others = {k: lower(s.args["catchall"], In(i.x[k], i.dtype[k].dataType, i.opt), [*path, F.lit(k)]) for k in left}
+        there = {k: i.x[k].isNull() for k in left}
+        ok = all_of([ok, *[there[k] | n.ok for k, n in others.items()]])
+        dirty = reduce(both, [None if n.dirty is None else ~there[k] & n.dirty for k, n in others.items()], dirty)
+        extras += [lambda k=k, n=n: F.when(there[k], none()).otherwise(n.issues()) for k, n in others.items()]
+        if others:
+            fields.append(F.struct(*[F.when(~there[k], n.value).alias(k) for k, n in others.items()]).alias("_extras"))
+            types.append(T.StructField("_extras", T.StructType([T.StructField(k, n.dtype) for k, n in others.items()])))
     elif mode == "loose" and rest is not None:
         fields.append(rest.alias("_extras"))
         types.append(T.StructField("_extras", rest_type))
-    elif mode == "catchall":
-        if not i.variant:
-            raise UnsupportedInSpark("a catchall schema needs VARIANT input")
-        one = lambda v: lower(s.args["catchall"], In(v, T.VariantType(), i.opt), [])
-        ok = ok & F.coalesce(F.forall(F.map_values(rest), lambda v: one(v).ok), F.lit(False))
-        extras.append(lambda: F.coalesce(F.flatten(F.transform(F.map_entries(rest), lambda e: lower(s.args["catchall"], In(e["value"], T.VariantType(), i.opt), [*path, e["key"]]).issues())), none()))
-        fields.append(rest.alias("_extras"))
-        types.append(T.StructField("_extras", rest_type))
     elif mode == "strip":
         dirty = both(dirty, more) if i.variant or left else dirty
     value = i.x if pure else F.when(is_, F.struct(*fields)) if fields else i.x
-    issues = lambda: F.when(is_, F.concat(*[k.issues() for k in kids.values()], *[e() for e in extras]) if kids or extras else none()).otherwise(F.array(wrong_type(path, "object", i.received())))
-    aborted = reduce(lambda a, b: a | b, [k.aborted for k in kids.values()], ~is_)
-    return Node(value, F.coalesce(ok, F.lit(False)) if i.variant else ok, issues, F.coalesce(aborted, F.lit(True)), None if dirty is None else F.coalesce(is_ & dirty, F.lit(False)), i.dtype if pure else T.StructType(types))
+    issues = lambda: F.when(is_, F.concat(*[k.issues() for k in kids.values()], *[e() for e in extras]) if kids or extras else none()).otherwise(F.array(wrong_type(path, "object", i.received(), i.opt.maps)))
+    aborted = lambda: F.coalesce(reduce(lambda a, b: a | b, [k.aborted for k in kids.values()], ~is_), F.lit(True))
+    return Node(value, F.coalesce(ok, F.lit(False)) if i.variant else ok, issues, aborted, None if dirty is None else F.coalesce(is_ & dirty, F.lit(False)), i.dtype if pure else T.StructType(types))
+
+
+class _Cells:
+    """The members of a container. lower_one(member, index) gives a member's nodes (a key and a value, say), built(member,
+    nodes) the member that comes out. Each question lowers the member once."""
+
+    def __init__(self, xs: Column, lower_one: Callable[[Column, Column], list[Node]], built: Callable[[Column, list[Node]], Column], passes: Callable[[list[Node]], Column] | None = None):
+        self.xs, self.lower_one, self.built = xs, lower_one, built
+        self.passes = passes or (lambda nodes: all_of([n.ok for n in nodes]))
+        self._made: Column | None = None
+        self._ok = F.forall(xs, self._first)
+
+    def _first(self, e: Column) -> Column:
+        nodes = self.lower_one(e, F.lit(0))
+        self.types, self.may_change = [n.dtype for n in nodes], any(n.dirty is not None for n in nodes)
+        return self.passes(nodes)
+
+    def ok(self) -> Column:
+        return F.coalesce(self._ok, F.lit(False))
+
+    def _both(self) -> Column:
+        """value and dirty of every member"""
+        if self._made is None:
+
+            def one(e, at):
+                nodes = self.lower_one(e, at)
+                dirty = reduce(both, [n.dirty for n in nodes], None)
+                return F.struct(self.built(e, nodes).alias("value"), (F.lit(False) if dirty is None else F.coalesce(dirty, F.lit(False))).alias("dirty"))
+
+            self._made = F.transform(self.xs, one)
+        return self._made
+
+    def values(self) -> Column:
+        return F.transform(self._both(), lambda c: c["value"])
+
+    def dirty(self) -> Column | None:
+        return F.coalesce(F.exists(self._both(), lambda c: c["dirty"]), F.lit(False)) if self.may_change else None
+
+    def issues(self, of: Callable[[list[Node]], Column] | None = None) -> Column:
+        said = of or (lambda nodes: F.concat(*[n.issues() for n in nodes]))
+        return F.flatten(F.transform(self.xs, lambda e, at: said(self.lower_one(e, at))))
+
+    def aborted(self) -> Column:
+        return F.coalesce(F.exists(self.xs, lambda e: reduce(lambda a, b: a | b, [n.aborted for n in self.lower_one(e, F.lit(0))])), F.lit(False))
 
 
 def _json_path(key: str) -> str:
@@ -420,45 +555,40 @@ def _json_path(key: str) -> str:
 
 def _elements(i: In) -> tuple[Column, Column, T.DataType]:
     if i.variant:
-        is_ = i.shape().startswith("ARRAY")
-        return is_, F.when(is_, F.try_variant_get(i.x, "$", "array<variant>")), T.VariantType()
+        xs = F.try_variant_get(i.x, "$", "array<variant>")  # null for whatever is no array
+        return xs.isNotNull(), xs, T.VariantType()
     if isinstance(i.dtype, T.ArrayType):
         return i.x.isNotNull(), i.x, i.dtype.elementType
     return F.lit(False), F.lit(None).cast("array<string>"), T.StringType()
 
 
+def _distinct(xs: Column, t: T.DataType) -> Column:
+    """Members that come again go; VARIANT has no equality of its own, so its JSON stands for it."""
+    if not isinstance(t, T.VariantType):
+        return F.array_distinct(xs)
+    texts = F.transform(xs, lambda e: F.to_json(e))
+    return F.transform(F.array_distinct(texts), lambda k: F.get(xs, (F.array_position(texts, k) - 1).cast("int")))
+
+
 def _array(s, i, path, distinct=False):
     name = "set" if distinct else "array"
     is_, xs, t = _elements(i)
-    if distinct and i.variant:
-        is_ = F.lit(False)
-    one = lambda e, at: lower(s.args["element"], In(e, t, i.opt), [*path, at.cast("string")])
-    probe = one(F.lit(None).cast(t), F.lit(0))
-    pure = not i.variant and probe.dirty is None and probe.dtype == t and not _changes(s.args["element"])
-    value = xs if pure else F.transform(xs, lambda e, at: one(e, at).value)
-    dirty = None if probe.dirty is None else F.coalesce(F.exists(xs, lambda e: one(e, F.lit(0)).dirty), F.lit(False))
+    cells = _Cells(xs, lambda e, at: [lower(s.args["element"], In(e, t, i.opt), [*path, at.cast("string")])], lambda e, nodes: nodes[0].value)
+    pure = not i.variant and not cells.may_change and cells.types[0] == t and not _changes(s.args["element"])
+    value, dirty = xs if pure else cells.values(), cells.dirty()
     if distinct:
-        new = F.array_distinct(value)
-        dirty = both(dirty, F.size(new) < F.size(xs))
+        new = _distinct(value, t if pure else cells.types[0])
+        dirty = both(dirty, F.coalesce(F.size(new) < F.size(xs), F.lit(False)))
         value = new
-    ok = is_ & F.forall(xs, lambda e: one(e, F.lit(0)).ok)
-    issues = lambda: F.when(is_, F.flatten(F.transform(xs, lambda e, at: one(e, at).issues()))).otherwise(F.array(wrong_type(path, name, i.received())))
-    aborted = ~is_ | F.coalesce(F.exists(xs, lambda e: one(e, F.lit(0)).aborted), F.lit(False))
-    return Node(value, F.coalesce(ok, F.lit(False)), issues, aborted, dirty, T.ArrayType(probe.dtype))
+    issues = lambda: F.when(is_, cells.issues()).otherwise(F.array(wrong_type(path, name, i.received(), i.opt.maps)))
+    return Node(value, is_ & cells.ok(), issues, lambda: ~is_ | cells.aborted(), dirty, T.ArrayType(cells.types[0]))
 
 
 def _changes(s: Schema) -> bool:
     """Whether a value may come out different."""
-    if any(c.kind in ("trim", "lower", "upper", "overwrite") for c in s.checks) or s.kind in ("default", "prefault", "catch", "transform", "preprocess", "success") or s.args.get("coerce"):
-        return True
-    return any(_changes(x) for x in children(s)) or s.kind == "set"
-
-
-def children(s: Schema) -> list[Schema]:
-    out = []
-    for v in s.args.values():
-        out += [v] if isinstance(v, Schema) else [x for x in v.values() if isinstance(x, Schema)] if isinstance(v, dict) else [x for x in v if isinstance(x, Schema)] if isinstance(v, tuple | list) else []
-    return out
+    made = ("default", "prefault", "catch", "transform", "transform_udf", "preprocess", "success", "set")
+    rewrites = lambda c: c.kind in ("trim", "lower", "upper", "overwrite") or c.kind == "super_refine" and c.args["value"] is not None
+    return any(x.kind in made or x.args.get("coerce") or any(map(rewrites, x.checks)) for x in walk(s))
 
 
 def accepts_absence(s: Schema) -> bool:
@@ -466,7 +596,7 @@ def accepts_absence(s: Schema) -> bool:
     if k in ("optional", "default", "prefault", "catch", "undefined", "void", "any"):
         return True
     if k in ("nullable", "readonly", "brand", "transform", "pipe", "lazy"):
-        return accepts_absence(s.args["get"]() if k == "lazy" else s.args["inner"])
+        return accepts_absence(resolved(s) if k == "lazy" else s.args["inner"])
     return any(map(accepts_absence, s.args["options"])) if k in ("union", "xor") else False
 
 
@@ -491,80 +621,86 @@ def _tuple(s, i, path):
     tail: Callable[[], Column] = none
     if rest is not None and xs is not None:
         behind = F.when(size > n, F.slice(xs, n + 1, F.greatest(size, F.lit(1)))).otherwise(F.slice(xs, 1, 0))
-        one = lambda e, at: lower(rest, In(e, t, i.opt), [*path, (at + n).cast("string")])
-        ok = ok & F.forall(behind, lambda e: one(e, F.lit(0)).ok)
-        tail = lambda: F.flatten(F.transform(behind, lambda e, at: one(e, at).issues()))
-        probe = one(F.lit(None).cast(t), F.lit(0))
-        fields.append(F.transform(behind, lambda e, at: one(e, at).value).alias("rest"))
-        types.append(T.StructField("rest", T.ArrayType(probe.dtype)))
-        dirty = dirty if probe.dirty is None else both(dirty, F.exists(behind, lambda e: one(e, F.lit(0)).dirty))
-    small = lambda: F.array(issue("too_small", path, size_message("min", "array", n, True, False), minimum=n, inclusive=True, exact=False, type="array"))
-    big = lambda: F.when(size > n, F.array(issue("too_big", path, size_message("max", "array", n, True, False), maximum=n, inclusive=True, exact=False, type="array"))).otherwise(none()) if rest is None else none()
-    issues = lambda: F.when(~is_, F.array(wrong_type(path, "array", i.received()))).when(size < least, small()).otherwise(F.concat(big(), *[k.issues() for k in kids], tail()))
+        cells = _Cells(behind, lambda e, at: [lower(rest, In(e, t, i.opt), [*path, (at + n).cast("string")])], lambda e, nodes: nodes[0].value)
+        ok, tail = ok & cells.ok(), cells.issues
+        fields.append(cells.values().alias("rest"))
+        types.append(T.StructField("rest", T.ArrayType(cells.types[0])))
+        dirty = both(dirty, cells.dirty())
+    small = lambda: F.array(issue("too_small", path, size_message("min", "array", n, True, False), maps=i.opt.maps, minimum=n, inclusive=True, exact=False, type="array"))
+    big = lambda: F.when(size > n, F.array(issue("too_big", path, size_message("max", "array", n, True, False), maps=i.opt.maps, maximum=n, inclusive=True, exact=False, type="array"))).otherwise(none()) if rest is None else none()
+    issues = lambda: F.when(~is_, F.array(wrong_type(path, "array", i.received(), i.opt.maps))).when(size < least, small()).otherwise(F.concat(big(), *[k.issues() for k in kids], tail()))
     return Node(F.when(is_, F.struct(*fields)), F.coalesce(ok, F.lit(False)), issues, ~is_ | F.coalesce(size < least, F.lit(False)), None if dirty is None else F.coalesce(dirty, F.lit(False)), T.StructType(types))
 
 
+#: Keys that a record tries as numbers: JavaScript's texts of numbers
+_NUMERIC_KEY = r"^-?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z"
+
+
 def _entries(s, i, path, kind):
     if i.variant and kind == "record":
-        is_ = i.shape().startswith("OBJECT")
-        m, kt, vt = F.when(is_, F.try_variant_get(i.x, "$", "map<string,variant>")), T.StringType(), T.VariantType()
+        m, kt, vt = F.try_variant_get(i.x, "$", "map<string,variant>"), T.StringType(), T.VariantType()
+        is_ = m.isNotNull()
     elif isinstance(i.dtype, T.MapType):
         is_, m, kt, vt = i.x.isNotNull(), i.x, i.dtype.keyType, i.dtype.valueType
     else:
         return _leaf("object" if kind == "record" else "map", F.lit(False), F.lit(None), T.NullType(), i, path)
     ks, vs, loose = s.args["key"], s.args["value"], s.args.get("loose", False)
-    where = (lambda e, at, w: [*path, e["key"].cast("string")]) if kind == "record" else (lambda e, at, w: [*path, at.cast("string"), F.lit(w)])
-
-    def parts(e, at) -> tuple[Node, Node]:
-        k = lower(ks, In(e["key"], kt, i.opt), where(e, at, "key"))
-        if kind == "record" and ks.kind == "number":  # a numeric key is tried as a number
-            as_num = F.when(e["key"].rlike(r"^-?\d+(\.\d+)?\z"), e["key"].try_cast("double"))
-            num = lower(ks, In(as_num, T.DoubleType(), i.opt), where(e, at, "key"))
-            k = Node(e["key"], num.ok, num.issues, num.aborted, num.dirty, T.StringType())
-        return k, lower(vs, In(e["value"], vt, i.opt), where(e, at, "value"))
-
-    entries = F.map_entries(m)
-    declared = [v for v in ks.args["values"]] if kind == "record" and ks.kind in ("enum", "literal") and not s.args.get("partial") else None
-    null_entry = F.struct(F.lit(None).cast(kt).alias("key"), F.lit(None).cast(vt).alias("value"))
-    pk, pv = parts(null_entry, F.lit(0))
-    if declared is not None:  # every declared key, in order
-        kids = {k: lower(vs, In(m[k], vt, i.opt), [*path, F.lit(k)]) for k in declared}
+    wrong = lambda: F.array(wrong_type(path, "object" if kind == "record" else "map", i.received(), i.opt.maps))
+    if kind == "record" and ks.kind in ("enum", "literal") and not s.args.get("partial") and i.opt.dialect == "v4":  # every declared key, in order
+        declared = list(ks.args["values"])
+        kids = {k: lower(vs, In(F.try_element_at(m, F.lit(k)), vt, i.opt), [*path, F.lit(k)]) for k in declared}
         extra = F.array_except(F.map_keys(m), F.array(*[F.lit(k) for k in declared]))
         ok = all_of([is_, *[k.ok for k in kids.values()], *([] if loose else [F.size(extra) == 0])])
         value = F.map_from_arrays(F.array(*[F.lit(k) for k in declared]), F.array(*[k.value for k in kids.values()]))
         if loose:
             value = F.map_concat(value, F.map_filter(m, lambda k, _: ~k.isin(declared)))
-        said = lambda: F.concat(*[k.issues() for k in kids.values()], none() if loose else F.when(F.size(extra) > 0, F.array(issue("unrecognized_keys", path, F.concat(F.lit("Unrecognized key(s) in object: '"), F.array_join(extra, "', '"), F.lit("'")), keys=F.array_join(extra, ",")))).otherwise(none()))
+        issues = lambda: F.when(is_, F.concat(*[k.issues() for k in kids.values()], none() if loose else _unknown_keys(extra, path, i.opt))).otherwise(wrong())
         dirty = reduce(both, [k.dirty for k in kids.values()], None)
-        aborted = reduce(lambda a, b: a | b, [k.aborted for k in kids.values()], ~is_)
+        aborted = lambda: F.coalesce(reduce(lambda a, b: a | b, [k.aborted for k in kids.values()], ~is_), F.lit(True))
+        return Node(value, F.coalesce(ok, F.lit(False)), issues, aborted, None if dirty is None else F.coalesce(dirty, F.lit(False)), T.MapType(kt, next(iter(kids.values())).dtype))
+    where = (lambda e, at, w: [*path, e["key"].cast("string")]) if kind == "record" else (lambda e, at, w: [*path, at.cast("string"), F.lit(w)])
+
+    def parts(e, at) -> list[Node]:
+        if kind == "record" and ks.kind == "number" and isinstance(kt, T.StringType):  # a key that reads as a number is tried as one
+            at_key, reads = where(e, at, "key"), e["key"].rlike(_NUMERIC_KEY)
+            num = lower(ks, In(F.when(reads, e["key"].try_cast("double")), T.DoubleType(), i.opt), at_key)
+            said = lambda: F.when(reads, num.issues()).otherwise(F.array(wrong_type(at_key, "number", F.lit("string"), i.opt.maps)))
+            k = Node(e["key"] if num.dirty is None else _string_of_number(num.value), reads & num.ok, said, lambda: ~reads | num.aborted, num.dirty, T.StringType())
+        else:
+            k = lower(ks, In(e["key"], kt, i.opt), where(e, at, "key"))
+        return [k, lower(vs, In(e["value"], vt, i.opt), where(e, at, "value"))]
+
+    def rebuilt(e, nodes):
+        k, v = nodes
+        if not loose:
+            return F.struct(k.value.alias("key"), v.value.alias("value"))
+        mine, other = (v.value, e["value"]) if v.dtype == vt else (_as_variant(v.value, v.dtype), _as_variant(e["value"], vt))
+        return F.struct(F.when(k.ok, k.value).otherwise(e["key"]).alias("key"), F.when(k.ok, mine).otherwise(other).alias("value"))
+
+    cells = _Cells(F.map_entries(m), parts, rebuilt, (lambda nodes: ~nodes[0].ok | nodes[1].ok) if loose else None)
+    if _changes(ks) or _changes(vs) or i.variant or cells.types != [kt, vt]:
+        # a key that comes again keeps its first place and its last value
+        pairs = F.array(cells.values())
+        last = lambda ps, k: F.element_at(F.filter(ps, lambda e: e["key"] == k), -1)["value"]
+        names = lambda ps: F.array_distinct(F.transform(ps, lambda e: e["key"]))
+        once = lambda ps: F.size(names(ps)) == F.size(ps)
+        value = F.get(F.transform(pairs, lambda ps: F.when(once(ps), F.map_from_entries(ps)).otherwise(F.map_from_arrays(names(ps), F.transform(names(ps), lambda k: last(ps, k))))), F.lit(0))
     else:
-        good = lambda e: (lambda k, v: (~k.ok | v.ok) if loose else k.ok & v.ok)(*parts(e, F.lit(0)))
-        ok = is_ & F.forall(entries, good)
+        value = m
+    said = (lambda nodes: F.when(nodes[0].ok, nodes[1].issues()).otherwise(none())) if loose else None
+    issues = lambda: F.when(is_, cells.issues(said)).otherwise(wrong())
+    return Node(value, is_ & cells.ok(), issues, lambda: ~is_ | cells.aborted(), cells.dirty(), T.MapType(cells.types[0], T.VariantType() if loose and cells.types[1] != vt else cells.types[1]))
 
-        def rebuilt(e, at):
-            k, v = parts(e, at)
-            key, val = (F.when(k.ok, k.value).otherwise(e["key"]), F.when(k.ok, v.value).otherwise(e["value"])) if loose else (k.value, v.value)
-            return F.struct(key.alias("key"), val.alias("value"))
 
-        pairs = F.transform(entries, rebuilt)
-        # a key that comes again keeps its first place and its last value
-        names = F.array_distinct(F.transform(pairs, lambda e: e["key"]))
-        value = F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter(pairs, lambda e: e["key"] == k), -1)["value"]))
-        value = m if not (_changes(ks) or _changes(vs)) and not i.variant else value
-        said = lambda: F.flatten(F.transform(entries, lambda e, at: (lambda k, v: F.when(k.ok, v.issues()).otherwise(none()) if loose else F.concat(k.issues(), v.issues()))(*parts(e, at))))
-        d = both(pk.dirty, pv.dirty)
-        dirty = None if d is None else F.coalesce(F.exists(entries, lambda e: both(*[p.dirty for p in parts(e, F.lit(0))])), F.lit(False))
-        aborted = ~is_ | F.coalesce(F.exists(entries, lambda e: (lambda k, v: k.aborted | v.aborted)(*parts(e, F.lit(0)))), F.lit(False))
-    issues = lambda: F.when(is_, said()).otherwise(F.array(wrong_type(path, "object" if kind == "record" else "map", i.received())))
-    return Node(value, F.coalesce(ok, F.lit(False)), issues, F.coalesce(aborted, F.lit(True)), None if dirty is None else F.coalesce(dirty, F.lit(False)), T.MapType(pk.dtype, pv.dtype))
+def _as_variant(x: Column, t: T.DataType) -> Column:
+    return x if isinstance(t, T.VariantType) else F.to_variant_object(x) if isinstance(t, T.StructType | T.ArrayType | T.MapType) else x.cast("variant")
 
 
 def _merged(nodes: list[Node]) -> tuple[list[Column], T.DataType]:
     """Values of one type: as they are if types agree, else VARIANT."""
     if all(n.dtype == nodes[0].dtype for n in nodes):
         return [n.value for n in nodes], nodes[0].dtype
-    to = lambda n: n.value if isinstance(n.dtype, T.VariantType) else F.to_variant_object(n.value) if isinstance(n.dtype, T.StructType | T.ArrayType | T.MapType) else n.value.cast("variant")
-    return [to(n) for n in nodes], T.VariantType()
+    return [_as_variant(n.value, n.dtype) for n in nodes], T.VariantType()
 
 
 def _union(s, i, path):
@@ -579,9 +715,9 @@ def _union(s, i, path):
         out = F.when(ok, none())
         for n in opts:  # the first that only failed checks gives its own issues
             out = out.when(~n.aborted, n.issues())
-        return out.otherwise(F.array(issue("invalid_union", path, "Invalid input", unionErrors=F.to_json(F.array(*[n.issues() for n in opts])))))
+        return out.otherwise(F.array(issue("invalid_union", path, "Invalid input", maps=i.opt.maps, unionErrors=F.to_json(F.array(*[n.issues() for n in opts])))))
 
-    return Node(value, ok, issues, all_of([n.aborted for n in opts]), dirty, t)
+    return Node(value, ok, issues, lambda: all_of([n.aborted for n in opts]), dirty, t)
 
 
 def _xor(s, i, path):
@@ -590,7 +726,7 @@ def _xor(s, i, path):
     n = sum((F.coalesce(o.ok, F.lit(False)).cast("int") for o in opts[1:]), F.coalesce(opts[0].ok, F.lit(False)).cast("int"))
     ok = n == 1
     value = reduce(lambda acc, pv: acc.when(*pv), zip([o.ok for o in opts[1:]], values[1:], strict=True), F.when(opts[0].ok, values[0]))
-    return Node(F.when(ok, value), ok, lambda: F.when(ok, none()).otherwise(F.array(issue("invalid_union", path, "Invalid input", matches=n))), ~ok, reduce(both, [None if o.dirty is None else o.ok & o.dirty for o in opts], None), t)
+    return Node(F.when(ok, value), ok, lambda: F.when(ok, none()).otherwise(F.array(issue("invalid_union", path, "Invalid input", maps=i.opt.maps, matches=n))), ~ok, reduce(both, [None if o.dirty is None else o.ok & o.dirty for o in opts], None), t)
 
 
 def _discriminated(s, i, path):
@@ -615,10 +751,10 @@ def _discriminated(s, i, path):
     pick = lambda cols, other: reduce(lambda acc, hv: acc.when(*hv), zip(hits[1:], cols[1:], strict=True), F.when(hits[0], cols[0])).otherwise(other)
     ok = is_ & pick([n.ok for n in nodes], F.lit(False))
     said = ", ".join(f"'{v}'" for v in claimed).replace(", ", " | ")
-    miss = lambda: F.array(issue("invalid_union_discriminator", [*path, F.lit(tag)], f"Invalid discriminator value. Expected {said}", options=",".join(map(str, claimed))))
-    issues = lambda: F.when(~is_, F.array(wrong_type(path, "object", i.received()))).otherwise(pick([n.issues() for n in nodes], miss()))
+    miss = lambda: F.array(issue("invalid_union_discriminator", [*path, F.lit(tag)], f"Invalid discriminator value. Expected {said}", maps=i.opt.maps, options=",".join(map(str, claimed))))
+    issues = lambda: F.when(~is_, F.array(wrong_type(path, "object", i.received(), i.opt.maps))).otherwise(pick([n.issues() for n in nodes], miss()))
     dirty = None if all(n.dirty is None for n in nodes) else pick([F.lit(False) if n.dirty is None else n.dirty for n in nodes], F.lit(False))
-    return Node(pick(values, F.lit(None).cast(t)), F.coalesce(ok, F.lit(False)), issues, F.coalesce(~is_ | pick([n.aborted for n in nodes], F.lit(True)), F.lit(True)), dirty, t)
+    return Node(pick(values, F.lit(None).cast(t)), F.coalesce(ok, F.lit(False)), issues, lambda: F.coalesce(~is_ | pick([n.aborted for n in nodes], F.lit(True)), F.lit(True)), dirty, t)
 
 
 def _intersection(s, i, path):
@@ -627,12 +763,12 @@ def _intersection(s, i, path):
     if isinstance(a.dtype, T.StructType) and isinstance(b.dtype, T.StructType):
         own = [f for f in a.dtype if f.name not in b.dtype.names]
         value, t = F.struct(*[a.value[f.name].alias(f.name) for f in own], *[b.value[f.name].alias(f.name) for f in b.dtype]), T.StructType([*own, *b.dtype])
-    return Node(value, a.ok & b.ok, lambda: F.concat(a.issues(), b.issues()), a.aborted | b.aborted, both(a.dirty, b.dirty), t)
+    return Node(value, a.ok & b.ok, lambda: F.concat(a.issues(), b.issues()), lambda: a.aborted | b.aborted, both(a.dirty, b.dirty), t)
 
 
 def _short(n: Node, skip: Column, dirty_too: bool = True) -> Node:
     """The inner node unless `skip`, then a plain null."""
-    return Node(F.when(skip, F.lit(None).cast(n.dtype)).otherwise(n.value) if _shapes(n) else F.when(~skip, n.value), skip | n.ok, lambda: F.when(skip, none()).otherwise(n.issues()), ~skip & n.aborted, None if n.dirty is None else ~skip & n.dirty, n.dtype)
+    return Node(F.when(skip, F.lit(None).cast(n.dtype)).otherwise(n.value) if _shapes(n) else F.when(~skip, n.value), skip | n.ok, lambda: F.when(skip, none()).otherwise(n.issues()), lambda: ~skip & n.aborted, None if n.dirty is None else ~skip & n.dirty, n.dtype)
 
 
 def _shapes(n: Node) -> bool:
@@ -647,7 +783,7 @@ def _optional(s, i, path):
         return _short(n, skip)
     if not i.variant and not _changes(inner) and n.dirty is None:
         skip = i.absent()
-        return Node(n.value, skip | n.ok, lambda: F.when(skip, none()).otherwise(n.issues()), ~skip & n.aborted, None, n.dtype)
+        return Node(n.value, skip | n.ok, lambda: F.when(skip, none()).otherwise(n.issues()), lambda: ~skip & n.aborted, None, n.dtype)
     return _short(n, i.absent())
 
 
@@ -673,8 +809,8 @@ def _default(s, i, path):
     dirty = gone if n.dirty is None else gone | n.dirty
     if i.opt.dialect == "v3" and not i.variant:  # the default runs through the inner schema
         c = lower(s.args["inner"], In(d, i.dtype, i.opt), path)
-        return Node(F.when(gone, c.value).otherwise(n.value), F.when(gone, c.ok).otherwise(n.ok), lambda: F.when(gone, c.issues()).otherwise(n.issues()), F.when(gone, c.aborted).otherwise(n.aborted), dirty, n.dtype)
-    return Node(value, gone | n.ok, lambda: F.when(gone, none()).otherwise(n.issues()), ~gone & n.aborted, dirty, n.dtype)
+        return Node(F.when(gone, c.value).otherwise(n.value), F.when(gone, c.ok).otherwise(n.ok), lambda: F.when(gone, c.issues()).otherwise(n.issues()), lambda: F.when(gone, c.aborted).otherwise(n.aborted), dirty, n.dtype)
+    return Node(value, gone | n.ok, lambda: F.when(gone, none()).otherwise(n.issues()), lambda: ~gone & n.aborted, dirty, n.dtype)
 
 
 def _prefault(s, i, path):
@@ -686,7 +822,7 @@ def _prefault(s, i, path):
     else:
         x = F.coalesce(i.x, _constant(s.args["value"], i.dtype))
     n = lower(s.args["inner"], In(x, i.dtype, i.opt), path)
-    return Node(n.value, n.ok, n.issues, n.aborted, both(gone, n.dirty), n.dtype)
+    return Node(n.value, n.ok, n.issues, lambda: n.aborted, both(gone, n.dirty), n.dtype)
 
 
 def _catch(s, i, path):
@@ -701,18 +837,18 @@ def _transform(s, i, path):
     n = lower(s.args["inner"], i, path)
     t = s.args["returns"]
     t = T._parse_datatype_string(t) if isinstance(t, str) else t or n.dtype
-    return Node(F.when(n.ok, s.args["f"](n.value)), n.ok, n.issues, n.aborted | ~n.ok, n.ok, t)
+    return Node(F.when(n.ok, s.args["f"](n.value)), n.ok, n.issues, lambda: n.aborted | ~n.ok, n.ok, t)
 
 
 def _preprocess(s, i, path):
     n = lower(s.args["inner"], In(s.args["f"](i.x), i.dtype, i.opt), path)
-    return Node(n.value, n.ok, n.issues, n.aborted, both(n.dirty, ~n.value.eqNullSafe(i.x) if n.dtype == i.dtype and not isinstance(n.dtype, T.MapType | T.VariantType) else F.lit(True)), n.dtype)
+    return Node(n.value, n.ok, n.issues, lambda: n.aborted, both(n.dirty, ~n.value.eqNullSafe(i.x) if n.dtype == i.dtype and not isinstance(n.dtype, T.MapType | T.VariantType) else F.lit(True)), n.dtype)
 
 
 def _pipe(s, i, path):
     a = lower(s.args["inner"], i, path)
     b = lower(s.args["out"], In(a.value, a.dtype, i.opt), path)
-    return Node(F.when(a.ok, b.value), a.ok & b.ok, lambda: F.when(a.ok, b.issues()).otherwise(a.issues()), a.aborted | ~a.ok | b.aborted, both(a.dirty, b.dirty), b.dtype)
+    return Node(F.when(a.ok, b.value), a.ok & b.ok, lambda: F.when(a.ok, b.issues()).otherwise(a.issues()), lambda: a.aborted | ~a.ok | b.aborted, both(a.dirty, b.dirty), b.dtype)
 
 
 def _through(s, i, path):
@@ -721,7 +857,7 @@ def _through(s, i, path):
 
 def _nonoptional(s, i, path):
     n, gone = lower(s.args["inner"], i, path), i.absent()
-    return Node(n.value, ~gone & n.ok, lambda: F.when(gone, F.array(wrong_type(path, "nonoptional", i.received()))).otherwise(n.issues()), gone | n.aborted, n.dirty, n.dtype)
+    return Node(n.value, ~gone & n.ok, lambda: F.when(gone, F.array(wrong_type(path, "nonoptional", i.received(), i.opt.maps))).otherwise(n.issues()), lambda: gone | n.aborted, n.dirty, n.dtype)
 
 
 def _success(s, i, path):
@@ -729,18 +865,22 @@ def _success(s, i, path):
     return Node(F.coalesce(n.ok, F.lit(False)), F.lit(True), none, F.lit(False), F.lit(True), T.BooleanType())
 
 
+#: As deep as Spark's own parser lets types and JSON be nested, about
+_DEEPEST = 100
+
+
 def _lazy(s, i, path):
-    depth = s.args["depth"]
-    if depth == 0:
-        return _leaf("", i.x.isNull(), F.lit(None).cast("variant") if i.variant else i.x, i.dtype, i, path, lambda: issue("custom", path, "too deep"))
-    return lower(_shallower(s.args["get"](), s.args["get"], depth - 1), i, path)
+    """Unrolled where it is asked for. The type of typed input ends that; a schema that asks for itself on one and the same
+    value never ends, and VARIANT input has no type to end it: the interpreter takes those."""
+    if len(path) > _DEEPEST or (i.variant and is_recursive(s)):
+        raise UnsupportedInSpark("a recursive schema on VARIANT needs the interpreter tier")
+    if i.opt.open.count(id(s.args["get"])) > _DEEPEST:
+        raise UnsupportedInSpark("a lazy schema that is itself")
+    return lower(resolved(s), In(i.x, i.dtype, replace(i.opt, open=(*i.opt.open, id(s.args["get"])))), path)
 
 
-def _shallower(s: Schema, get, depth: int) -> Schema:
-    if s.kind == "lazy":
-        return Schema("lazy", {"get": get, "depth": depth}) if s.args["get"] is get else s
-    swap = lambda v: _shallower(v, get, depth) if isinstance(v, Schema) else {k: swap(x) for k, x in v.items()} if isinstance(v, dict) else tuple(map(swap, v)) if isinstance(v, tuple) else v
-    return Schema(s.kind, {k: swap(v) for k, v in s.args.items()}, s.checks)
+def _no_udf(s, i, path):
+    raise UnsupportedInSpark("transform_udf needs the interpreter tier")
 
 
 _LOWER = {
@@ -748,5 +888,5 @@ _LOWER = {
     "nan": _nan, "symbol": _symbol, "literal": _literal, "enum": _enum, "native_enum": _enum, "object": _object, "array": _array, "set": lambda s, i, p: _array(s, i, p, True), "tuple": _tuple,
     "record": lambda s, i, p: _entries(s, i, p, "record"), "map": lambda s, i, p: _entries(s, i, p, "map"), "union": _union, "xor": _xor, "discriminated": _discriminated, "intersection": _intersection,
     "optional": _optional, "nullable": _nullable, "default": _default, "prefault": _prefault, "catch": _catch, "transform": _transform, "preprocess": _preprocess, "pipe": _pipe,
-    "readonly": _through, "brand": _through, "nonoptional": _nonoptional, "success": _success, "lazy": _lazy,
+    "readonly": _through, "brand": _through, "nonoptional": _nonoptional, "success": _success, "lazy": _lazy, "transform_udf": _no_udf,
 }

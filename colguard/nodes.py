@@ -74,8 +74,9 @@ class Schema:
         return self.lt(0)
 
     # strings
-    def regex(self, pattern, message=None):
-        return self.check("regex", message, pattern=pattern)
+    def regex(self, pattern, message=None, flags=""):
+        """A JavaScript pattern and its flags."""
+        return self.check("regex", message, pattern=pattern, flags=flags)
 
     def includes(self, part, position=0, message=None):
         return self.check("includes", message, part=part, position=position)
@@ -166,22 +167,37 @@ class Schema:
         return self._wrap("success")
 
     # callbacks
-    def refine(self, f, message="Invalid input", abort=False, when=None, path=()):
+    def refine(self, f, message=None, abort=False, when=None, path=()):
         return self.check("refine", message, abort, when, f=f, path=tuple(path))
 
-    def super_refine(self, f):
-        """f(value) gives an array column of issues: struct(code, path, message, params), see issues.issue."""
-        return self.check("super_refine", f=f)
+    def super_refine(self, f, value=None):
+        """f(value) gives an array column of issues: struct(code, path, message, params), see issues.issue; an issue with
+        the parameter fatal = true ends the checks behind. value: a function that gives the value its new form."""
+        return self.check("super_refine", f=f, value=value)
 
-    def refine_udf(self, f, message="Invalid input"):
-        """f: pandas Series of values -> Series of booleans, run as an Arrow UDF (not below arrays, maps or sets)."""
+    def refine_udf(self, f, message=None):
+        """f: pandas Series of values -> Series of booleans, called for a batch of rows at once, also below containers."""
         return self.check("refine_udf", message, f=f)
 
+    def transform_udf(self, f, returns=None):
+        """f: pandas Series of values -> Series of new values (what JSON holds; of the type `returns` at the top)."""
+        return self._wrap("transform_udf", f=f, returns=returns)
+
+    def messages(self, said: dict):
+        """Default messages of this schema's own issues by code: texts in which {name} stands for a parameter, or
+        functions of the parameters and the message so far. An explicit message of a check goes before."""
+        return replace(self, args={**self.args, "messages": said})
+
 
 def string(coerce=False):
     return Schema("string", {"coerce": coerce})
 
 
+def string_format(name, test):
+    """A format of one's own: test is a JavaScript pattern, or a function of the string's column that gives a boolean one."""
+    return string().check("format", name=name, test=test)
+
+
 def number(coerce=False):
     return Schema("number", {"coerce": coerce})
 
@@ -229,7 +245,7 @@ def symbol():
     return Schema("symbol")
 
 
-def custom(f, message="Invalid input"):
+def custom(f, message=None):
     return any_().refine(f, message, abort=True)
 
 
@@ -294,6 +310,51 @@ def codec(a: Schema, b: Schema, decode):
     return a.transform(decode).pipe(b)
 
 
-def lazy(get: Callable[[], Schema], depth: int = 4):
-    """A recursive schema, unrolled to `depth`; deeper values fail with custom "too deep"."""
-    return Schema("lazy", {"get": get, "depth": depth})
+def lazy(get: Callable[[], Schema]):
+    """A schema that may hold itself; get is called when it is needed. Typed input ends it where its type ends; VARIANT
+    input of any depth goes through the interpreter."""
+    return Schema("lazy", {"get": get})
+
+
+def children(s: Schema) -> list[Schema]:
+    """The schemas that this one is made of; what a lazy one stands for is asked for by resolved()."""
+    if s.kind == "lazy":
+        return []
+    out = []
+    for v in s.args.values():
+        out += [v] if isinstance(v, Schema) else [x for x in v.values() if isinstance(x, Schema)] if isinstance(v, dict) else [x for x in v if isinstance(x, Schema)] if isinstance(v, tuple | list) else []
+    return out + [c.args["schema"] for c in s.checks if c.kind == "property"]
+
+
+def resolved(s: Schema) -> Schema:
+    """What a lazy schema stands for; its getter is called once."""
+    if s.kind != "lazy":
+        return s
+    if "made" not in s.args:
+        s.args["made"] = s.args["get"]()
+    return s.args["made"]
+
+
+def walk(s: Schema, seen: dict | None = None):
+    """All schemas below s, s first, each lazy getter followed once."""
+    seen = {} if seen is None else seen
+    key = s.args["get"] if s.kind == "lazy" else s
+    if id(key) in seen:
+        return
+    seen[id(key)] = key
+    yield s
+    for x in [resolved(s)] if s.kind == "lazy" else children(s):
+        yield from walk(x, seen)
+
+
+def is_recursive(s: Schema) -> bool:
+    """Whether some lazy schema holds itself."""
+
+    def holds(x: Schema, open_: frozenset) -> bool:
+        if x.kind == "lazy":
+            if id(x.args["get"]) in open_:
+                return True
+            return holds(resolved(x), open_ | {id(x.args["get"])})
+        return any(holds(c, open_) for c in children(x))
+
+    return holds(s, frozenset())

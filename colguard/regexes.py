@@ -1,27 +1,31 @@
-"""String formats as Java patterns. These formats define what is accepted; JavaScript's final $ is \\z here."""
+"""String formats as Java patterns, and JavaScript patterns written as Java ones.
+
+The formats are fixed values: they define what is accepted. JavaScript's final $ is \\z here.
+"""
 
 from __future__ import annotations
 
-_V4 = r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[0-9])"
-_H = "[0-9a-fA-F]{1,4}"
-_V4_SHORT = r"((25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9])\.){3,3}(25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9])"
-#: h:h:..:: forms by how many groups stand before and at most behind the gap
-_V6 = "(" + "|".join([f"({_H}:){{7,7}}{_H}", f"({_H}:){{1,7}}:", *[f"({_H}:){{1,{7 - n}}}(:{_H}){{1,{n}}}" for n in range(1, 7)], f":((:{_H}){{1,7}}|:)", "fe80:(:[0-9a-fA-F]{0,4}){0,4}%[0-9a-zA-Z]{1,}", f"::(ffff(:0{{1,4}}){{0,1}}:){{0,1}}{_V4_SHORT}", f"({_H}:){{1,4}}:{_V4_SHORT}"]) + ")"
-_DATE = r"((\d\d[2468][048]|\d\d[13579][26]|\d\d0[48]|[02468][048]00|[13579][26]00)-02-29|\d{4}-((0[13578]|1[02])-(0[1-9]|[12]\d|3[01])|(0[469]|11)-(0[1-9]|[12]\d|30)|(02)-(0[1-9]|1\d|2[0-8])))"
+from functools import cache
 
+from colguard.nodes import UnsupportedInSpark
 
-def _unit(u: str) -> str:
-    return rf"(?:(?:[-+]?\d+{u})|(?:[-+]?\d+[.,]\d+{u}\z))?"
+#: JavaScript's white space, as the inside of a class (fixed value)
+_SPACES = r"\t-\r\x{20}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+SPACE = f"[{_SPACES}]"
 
+#: Fixed values
+_V4 = r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9][0-9]|[0-9])"
+_V6 = r"(([0-9a-fA-F]{1,4}:){7,7}[0-9a-fA-F]{1,4}|([0-9a-fA-F]{1,4}:){1,7}:|([0-9a-fA-F]{1,4}:){1,6}(:[0-9a-fA-F]{1,4}){1,1}|([0-9a-fA-F]{1,4}:){1,5}(:[0-9a-fA-F]{1,4}){1,2}|([0-9a-fA-F]{1,4}:){1,4}(:[0-9a-fA-F]{1,4}){1,3}|([0-9a-fA-F]{1,4}:){1,3}(:[0-9a-fA-F]{1,4}){1,4}|([0-9a-fA-F]{1,4}:){1,2}(:[0-9a-fA-F]{1,4}){1,5}|([0-9a-fA-F]{1,4}:){1,1}(:[0-9a-fA-F]{1,4}){1,6}|:((:[0-9a-fA-F]{1,4}){1,7}|:)|fe80:(:[0-9a-fA-F]{0,4}){0,4}%[0-9a-zA-Z]{1,}|::(ffff(:0{1,4}){0,1}:){0,1}((25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9])\.){3,3}(25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9])|([0-9a-fA-F]{1,4}:){1,4}:((25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9])\.){3,3}(25[0-5]|(2[0-4]|1{0,1}[0-9]){0,1}[0-9]))"
+_DATE = r"((\d\d[2468][048]|\d\d[13579][26]|\d\d0[48]|[02468][048]00|[13579][26]00)-02-29|\d{4}-((0[13578]|1[02])-(0[1-9]|[12]\d|3[01])|(0[469]|11)-(0[1-9]|[12]\d|30)|(02)-(0[1-9]|1\d|2[0-8])))"
 
 FORMATS = {
     "email": r"(?i)^(?!\.)(?!.*\.\.)([A-Z0-9_'+\-\.]*)[A-Z0-9_+-]@([A-Z0-9][A-Z0-9\-]*\.)+[A-Z]{2,}\z",
     "uuid": r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\z",
-    "cuid": r"(?i)^c[^\s ﻿  -     　-]{8,}\z",
+    "cuid": rf"(?i)^c[^{_SPACES}-]{{8,}}\z",
     "cuid2": r"^[0-9a-z]+\z",
     "ulid": r"(?i)^[0-9A-HJKMNP-TV-Z]{26}\z",
     "nanoid": r"(?i)^[a-z0-9_-]{21}\z",
-    "duration": rf"^[-+]?P(?!\z){_unit('Y')}{_unit('M')}{_unit('W')}{_unit('D')}(?:T(?=[\d+-]){_unit('H')}{_unit('M')}(?:[-+]?\d+(?:[.,]\d+)?S)?)??\z",
+    "duration": r"^[-+]?P(?!\z)(?:(?:[-+]?\d+Y)|(?:[-+]?\d+[.,]\d+Y\z))?(?:(?:[-+]?\d+M)|(?:[-+]?\d+[.,]\d+M\z))?(?:(?:[-+]?\d+W)|(?:[-+]?\d+[.,]\d+W\z))?(?:(?:[-+]?\d+D)|(?:[-+]?\d+[.,]\d+D\z))?(?:T(?=[\d+-])(?:(?:[-+]?\d+H)|(?:[-+]?\d+[.,]\d+H\z))?(?:(?:[-+]?\d+M)|(?:[-+]?\d+[.,]\d+M\z))?(?:[-+]?\d+(?:[.,]\d+)?S)?)??\z",
     "date": rf"^{_DATE}\z",
     "base64": r"^([0-9a-zA-Z+/]{4})*(([0-9a-zA-Z+/]{2}==)|([0-9a-zA-Z+/]{3}=))?\z",
     "base64url": r"^([0-9a-zA-Z\-_]{4})*(([0-9a-zA-Z\-_]{2}(==)?)|([0-9a-zA-Z\-_]{3}(=)?))?\z",
@@ -30,11 +34,19 @@ FORMATS = {
     "cidrv4": rf"^{_V4}/(3[0-2]|[12]?[0-9])\z",
     "cidrv6": rf"^{_V6}/(12[0-8]|1[01][0-9]|[1-9]?[0-9])\z",
     "jwt": r"^[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]+\.[A-Za-z0-9\-_]*\z",
-    "emoji": r"^([\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{2190}-\x{21FF}\x{2300}-\x{23FF}\x{25A0}-\x{25FF}\x{2B00}-\x{2BFF}\x{E0020}-\x{E007F}#*0-9\x{200D}\x{20E3}\x{FE0F}\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{3030}\x{303D}\x{3297}\x{3299}])+\z",
 }
 
-#: JavaScript's white space, for trim
-SPACE = r"[\t-\r    -     　﻿]"
+
+@cache
+def emoji() -> str:
+    """Characters with the properties Extended_Pictographic or Emoji_Component, as ranges: Java 17 lacks the properties."""
+    import regex
+
+    has = regex.compile(r"[\p{Extended_Pictographic}\p{Emoji_Component}]")
+    held = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and has.match(chr(c))]
+    first = [c for a, c in zip([-2, *held], held, strict=False) if c != a + 1]
+    last = [a for a, c in zip(held, [*held[1:], -2], strict=True) if c != a + 1]
+    return "^[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in zip(first, last, strict=True)) + r"]+\z"
 
 
 def time(precision: int | None) -> str:
@@ -46,3 +58,53 @@ def time(precision: int | None) -> str:
 def datetime(precision: int | None, offset: bool, local: bool) -> str:
     zone = "|".join(["Z?" if local else "Z", *([r"([+-]\d{2}:?\d{2})"] if offset else [])])
     return rf"^{_DATE}T{time(precision)}({zone})\z"
+
+
+#: Line ends of JavaScript
+_ENDS = r"\n\r\x{2028}\x{2029}"
+
+
+def java(pattern: str, flags: str = "") -> str:
+    """A JavaScript pattern with its flags (i, m, s, u; d, g change no test) as a Java one. What differs: $ and ^ (ends of the
+    text, or of lines with m), the dot's line ends, white space of \\s, [^] and [], brackets and && in classes, \\u{...}."""
+    if set(flags) - set("imsudg"):
+        raise UnsupportedInSpark(f"regex flags {flags!r}")
+    out, i, inside = [], 0, False
+    while i < len(pattern):
+        c = pattern[i]
+        i += 1
+        if c == "\\" and i < len(pattern):
+            c, i = pattern[i], i + 1
+            if c == "s":
+                out.append(_SPACES if inside else SPACE)
+            elif c == "S":
+                out.append(f"[^{_SPACES}]")
+            elif c == "u" and pattern[i : i + 1] == "{":
+                out.append("\\x")
+            else:
+                out.append("\\" + c)
+        elif inside:
+            inside = c != "]"
+            out.append("\\[" if c == "[" else "\\&" if c == "&" else c)
+        elif c == "[":
+            if pattern[i : i + 2] == "^]":
+                out.append(r"[\s\S]")
+                i += 2
+            elif pattern[i : i + 1] == "]":
+                out.append("(?!)")
+                i += 1
+            else:
+                inside = True
+                out.append(c)
+                if pattern[i : i + 1] == "^":
+                    out.append("^")
+                    i += 1
+        elif c == "$":
+            out.append(f"(?![^{_ENDS}])" if "m" in flags else r"\z")
+        elif c == "^" and "m" in flags:
+            out.append(f"(?<![^{_ENDS}])")
+        elif c == ".":
+            out.append(r"[\s\S]" if "s" in flags else f"[^{_ENDS}]")
+        else:
+            out.append(c)
+    return ("(?iu)" if "i" in flags and "u" in flags else "(?i)" if "i" in flags else "") + "".join(out)
