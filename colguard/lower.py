@@ -45,6 +45,7 @@ class Options:
     messages: dict[str, Message] = field(default_factory=dict)
     own: dict[str, Message] = field(default_factory=dict)  # of the schema that is lowered
     open: tuple[int, ...] = ()  # lazy schemas on the way here
+    quick: bool = False  # nobody asks for the value that comes out, nor whether it is dirty
 
     @property
     def maps(self) -> tuple[dict[str, Message], ...]:
@@ -87,18 +88,17 @@ class In:
             .when(s.startswith("OBJECT"), "object").otherwise("number")
         )
 
-    def typed(self, kinds: tuple, cast: str, tests: list[str]) -> tuple[Column, Column]:
-        """(is of the type, value of the type)"""
+    def typed(self, kinds: tuple, cast: str, test: str) -> tuple[Column, Column]:
+        """(is of the type, value of the type where it is)"""
         if self.variant:
-            s = self.shape()
-            is_ = reduce(lambda a, b: a | b, [s.startswith(t) if t.endswith("<") or t == "DECIMAL" else s == t for t in tests])
-            return is_, F.when(is_, F.try_variant_get(self.x, "$", cast))
+            return self.shape().rlike(test) if test.startswith("^") else self.shape() == test, F.try_variant_get(self.x, "$", cast)
         if not isinstance(self.dtype, kinds):
             return F.lit(False), F.lit(None).cast(cast)
         return self.x.isNotNull(), self.x
 
 
-_NUM = ["BIGINT", "DOUBLE", "FLOAT", "DECIMAL"]
+#: What schema_of_variant calls numbers
+_NUM = "^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
 
 
 def _leaf(name: str, ok: Column, value: Column, dtype: T.DataType, i: In, path: list[Column], said=None) -> Node:
@@ -317,8 +317,9 @@ def lower(s: Schema, i: In, path: list[Column]) -> Node:
     if made is None:
         raise UnsupportedInSpark(f"schema kind {s.kind!r}")
     own = s.args.get("messages", {})
-    if own or i.opt.own:
-        i = In(i.x, i.dtype, replace(i.opt, own=own), i.present)
+    quick = i.opt.quick and not s.checks
+    if own or i.opt.own or quick != i.opt.quick:
+        i = In(i.x, i.dtype, replace(i.opt, own=own, quick=quick), i.present)
     if s.args.get("coerce"):
         i = _coerce(s.kind, i)
     node = made(s, i, path)
@@ -344,9 +345,9 @@ def _kind(s: Schema, dtype: T.DataType) -> str:
 
 def _basic(i: In, kind: str) -> tuple[Column, Column]:
     if kind == "string":
-        return i.typed((T.StringType,), "string", ["STRING"])
+        return i.typed((T.StringType,), "string", "STRING")
     if kind == "boolean":
-        return i.typed((T.BooleanType,), "boolean", ["BOOLEAN"])
+        return i.typed((T.BooleanType,), "boolean", "BOOLEAN")
     return i.typed(NUMBERS, "double", _NUM)
 
 
@@ -358,8 +359,7 @@ def _string(s, i, path):
 def _number(s, i, path):
     ok, v = _basic(i, "number")
     if i.variant or isinstance(i.dtype, T.DoubleType | T.FloatType):
-        ok = ok & ~F.isnan(v)
-        ok = ok & (F.abs(v) < float("inf")) if i.opt.dialect == "v4" else ok
+        ok = ok & (F.abs(v) < float("inf") if i.opt.dialect == "v4" else ~F.isnan(v))  # not-a-number is above infinity
     return _leaf("number", ok, v, T.DoubleType() if i.variant else i.dtype, i, path)
 
 
@@ -377,7 +377,7 @@ def _bigint(s, i, path):
 
 
 def _date(s, i, path):
-    ok, v = i.typed((T.TimestampType, T.DateType, T.TimestampNTZType), "timestamp", ["TIMESTAMP"])
+    ok, v = i.typed((T.TimestampType, T.DateType, T.TimestampNTZType), "timestamp", "TIMESTAMP")
     said = (lambda: issue("invalid_date", path, "Invalid date", maps=i.opt.maps)) if s.args.get("coerce") else None
     return _leaf("date", ok, v, T.TimestampType() if i.variant else i.dtype, i, path, said)
 
@@ -435,7 +435,7 @@ def _enum(s, i, path):
         tests.append(is_ & F.coalesce(x.isin(nums), F.lit(False)))
     ok = F.coalesce(reduce(lambda a, b: a | b, tests), F.lit(False)) if nums or i.variant else tests[0] & i.x.isNotNull()
     (is_text, text), (is_num, num) = _basic(i, "string"), _basic(i, "number")
-    x, given = text if texts else num, F.coalesce(text, _string_of_number(num.cast("double")))
+    x, given = text if texts else num, F.when(is_text, text).otherwise(_string_of_number(num.cast("double")))
     known = is_text | is_num if s.kind == "native_enum" else is_text if texts else is_num
     listed = " | ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in vs)
     said = lambda: F.when(known, issue("invalid_enum_value", path, F.concat(F.lit(f"Invalid enum value. Expected {listed}, received '"), given, F.lit("'")), maps=i.opt.maps, options=",".join(map(str, vs)), received=given)).otherwise(wrong_type(path, listed, i.received(), i.opt.maps))
@@ -444,8 +444,9 @@ def _enum(s, i, path):
 
 
 def _unknown_keys(extra: Column, path: list[Column], opt: Options) -> Column:
-    said = F.concat(F.lit("Unrecognized key(s) in object: '"), F.array_join(extra, "', '"), F.lit("'"))
-    return F.when(F.size(extra) > 0, F.array(issue("unrecognized_keys", path, said, maps=opt.maps, keys=F.array_join(extra, ",")))).otherwise(none())
+    """The issue of extra keys, if there are any; a lambda's argument, so that they are looked for once."""
+    said = lambda keys: F.concat(F.lit("Unrecognized key(s) in object: '"), F.array_join(keys, "', '"), F.lit("'"))
+    return F.transform(F.filter(F.array(extra), lambda keys: F.size(keys) > 0), lambda keys: issue("unrecognized_keys", path, said(keys), maps=opt.maps, keys=F.array_join(keys, ",")))
 
 
 def _object(s, i, path):
@@ -479,10 +480,10 @@ def _object(s, i, path):
         ok = ok & ~more
         extras.append(lambda: _unknown_keys(extra, path, i.opt))
     elif mode == "catchall" and i.variant:
-        cells = _Cells(F.map_entries(rest), lambda e, at: [lower(s.args["catchall"], In(e["value"], T.VariantType(), i.opt), [*path, e["key"]])], lambda e, nodes: F.struct(e["key"].alias("key"), nodes[0].value.alias("value")))
+        cells = _Cells(F.map_entries(rest), i.opt, lambda e, at, opt: [lower(s.args["catchall"], In(e["value"], T.VariantType(), opt), [*path, e["key"]])], lambda e, nodes: F.struct(e["key"].alias("key"), nodes[0].value.alias("value")))
         ok, dirty = ok & cells.ok(), both(dirty, cells.dirty())
         extras.append(lambda: F.coalesce(cells.issues(), none()))
-        changed = cells.types[0] != T.VariantType() or _changes(s.args["catchall"])
+        changed = not i.opt.quick and (cells.types[0] != T.VariantType() or _changes(s.args["catchall"]))
         fields.append((F.map_from_entries(cells.values()) if changed else rest).alias("_extras"))
         types.append(T.StructField("_extras", T.MapType(T.StringType(), cells.types[0])))
     elif mode == "catchall":  # the columns that the shape does not name
@@ -499,24 +500,27 @@ def _object(s, i, path):
         types.append(T.StructField("_extras", rest_type))
     elif mode == "strip":
         dirty = both(dirty, more) if i.variant or left else dirty
-    value = i.x if pure else F.when(is_, F.struct(*fields)) if fields else i.x
+    if i.opt.quick:
+        dirty = None if dirty is None else F.lit(False)
+    value = i.x if pure or i.opt.quick else F.when(is_, F.struct(*fields)) if fields else i.x
     issues = lambda: F.when(is_, F.concat(*[k.issues() for k in kids.values()], *[e() for e in extras]) if kids or extras else none()).otherwise(F.array(wrong_type(path, "object", i.received(), i.opt.maps)))
     aborted = lambda: F.coalesce(reduce(lambda a, b: a | b, [k.aborted for k in kids.values()], ~is_), F.lit(True))
     return Node(value, F.coalesce(ok, F.lit(False)) if i.variant else ok, issues, aborted, None if dirty is None else F.coalesce(is_ & dirty, F.lit(False)), i.dtype if pure else T.StructType(types))
 
 
 class _Cells:
-    """The members of a container. lower_one(member, index) gives a member's nodes (a key and a value, say), built(member,
+    """The members of a container. lower_one(member, index, options) gives a member's nodes (a key and a value, say), built(member,
     nodes) the member that comes out. Each question lowers the member once."""
 
-    def __init__(self, xs: Column, lower_one: Callable[[Column, Column], list[Node]], built: Callable[[Column, list[Node]], Column], passes: Callable[[list[Node]], Column] | None = None):
+    def __init__(self, xs: Column, opt: Options, lower_one: Callable[[Column, Column, Options], list[Node]], built: Callable[[Column, list[Node]], Column], passes: Callable[[list[Node]], Column] | None = None):
         self.xs, self.lower_one, self.built = xs, lower_one, built
+        self.asked, self.full, self.quick = opt, replace(opt, quick=False), replace(opt, quick=True)
         self.passes = passes or (lambda nodes: all_of([n.ok for n in nodes]))
         self._made: Column | None = None
         self._ok = F.forall(xs, self._first)
 
     def _first(self, e: Column) -> Column:
-        nodes = self.lower_one(e, F.lit(0))
+        nodes = self.lower_one(e, F.lit(0), self.quick)
         self.types, self.may_change = [n.dtype for n in nodes], any(n.dirty is not None for n in nodes)
         return self.passes(nodes)
 
@@ -528,7 +532,7 @@ class _Cells:
         if self._made is None:
 
             def one(e, at):
-                nodes = self.lower_one(e, at)
+                nodes = self.lower_one(e, at, self.full)
                 dirty = reduce(both, [n.dirty for n in nodes], None)
                 return F.struct(self.built(e, nodes).alias("value"), (F.lit(False) if dirty is None else F.coalesce(dirty, F.lit(False))).alias("dirty"))
 
@@ -536,17 +540,19 @@ class _Cells:
         return self._made
 
     def values(self) -> Column:
+        if self.asked.quick:
+            return self.xs
         return F.transform(self._both(), lambda c: c["value"])
 
     def dirty(self) -> Column | None:
-        return F.coalesce(F.exists(self._both(), lambda c: c["dirty"]), F.lit(False)) if self.may_change else None
+        return None if not self.may_change else F.lit(False) if self.asked.quick else F.coalesce(F.exists(self._both(), lambda c: c["dirty"]), F.lit(False))
 
     def issues(self, of: Callable[[list[Node]], Column] | None = None) -> Column:
         said = of or (lambda nodes: F.concat(*[n.issues() for n in nodes]))
-        return F.flatten(F.transform(self.xs, lambda e, at: said(self.lower_one(e, at))))
+        return F.flatten(F.transform(self.xs, lambda e, at: said(self.lower_one(e, at, self.quick))))
 
     def aborted(self) -> Column:
-        return F.coalesce(F.exists(self.xs, lambda e: reduce(lambda a, b: a | b, [n.aborted for n in self.lower_one(e, F.lit(0))])), F.lit(False))
+        return F.coalesce(F.exists(self.xs, lambda e: reduce(lambda a, b: a | b, [n.aborted for n in self.lower_one(e, F.lit(0), self.quick)])), F.lit(False))
 
 
 def _json_path(key: str) -> str:
@@ -573,10 +579,12 @@ def _distinct(xs: Column, t: T.DataType) -> Column:
 def _array(s, i, path, distinct=False):
     name = "set" if distinct else "array"
     is_, xs, t = _elements(i)
-    cells = _Cells(xs, lambda e, at: [lower(s.args["element"], In(e, t, i.opt), [*path, at.cast("string")])], lambda e, nodes: nodes[0].value)
+    cells = _Cells(xs, i.opt, lambda e, at, opt: [lower(s.args["element"], In(e, t, opt), [*path, at.cast("string")])], lambda e, nodes: nodes[0].value)
     pure = not i.variant and not cells.may_change and cells.types[0] == t and not _changes(s.args["element"])
     value, dirty = xs if pure else cells.values(), cells.dirty()
-    if distinct:
+    if distinct and i.opt.quick:
+        dirty = F.lit(False)
+    elif distinct:
         new = _distinct(value, t if pure else cells.types[0])
         dirty = both(dirty, F.coalesce(F.size(new) < F.size(xs), F.lit(False)))
         value = new
@@ -621,7 +629,7 @@ def _tuple(s, i, path):
     tail: Callable[[], Column] = none
     if rest is not None and xs is not None:
         behind = F.when(size > n, F.slice(xs, n + 1, F.greatest(size, F.lit(1)))).otherwise(F.slice(xs, 1, 0))
-        cells = _Cells(behind, lambda e, at: [lower(rest, In(e, t, i.opt), [*path, (at + n).cast("string")])], lambda e, nodes: nodes[0].value)
+        cells = _Cells(behind, i.opt, lambda e, at, opt: [lower(rest, In(e, t, opt), [*path, (at + n).cast("string")])], lambda e, nodes: nodes[0].value)
         ok, tail = ok & cells.ok(), cells.issues
         fields.append(cells.values().alias("rest"))
         types.append(T.StructField("rest", T.ArrayType(cells.types[0])))
@@ -660,15 +668,15 @@ def _entries(s, i, path, kind):
         return Node(value, F.coalesce(ok, F.lit(False)), issues, aborted, None if dirty is None else F.coalesce(dirty, F.lit(False)), T.MapType(kt, next(iter(kids.values())).dtype))
     where = (lambda e, at, w: [*path, e["key"].cast("string")]) if kind == "record" else (lambda e, at, w: [*path, at.cast("string"), F.lit(w)])
 
-    def parts(e, at) -> list[Node]:
+    def parts(e, at, opt) -> list[Node]:
         if kind == "record" and ks.kind == "number" and isinstance(kt, T.StringType):  # a key that reads as a number is tried as one
             at_key, reads = where(e, at, "key"), e["key"].rlike(_NUMERIC_KEY)
-            num = lower(ks, In(F.when(reads, e["key"].try_cast("double")), T.DoubleType(), i.opt), at_key)
+            num = lower(ks, In(F.when(reads, e["key"].try_cast("double")), T.DoubleType(), opt), at_key)
             said = lambda: F.when(reads, num.issues()).otherwise(F.array(wrong_type(at_key, "number", F.lit("string"), i.opt.maps)))
             k = Node(e["key"] if num.dirty is None else _string_of_number(num.value), reads & num.ok, said, lambda: ~reads | num.aborted, num.dirty, T.StringType())
         else:
-            k = lower(ks, In(e["key"], kt, i.opt), where(e, at, "key"))
-        return [k, lower(vs, In(e["value"], vt, i.opt), where(e, at, "value"))]
+            k = lower(ks, In(e["key"], kt, opt), where(e, at, "key"))
+        return [k, lower(vs, In(e["value"], vt, opt), where(e, at, "value"))]
 
     def rebuilt(e, nodes):
         k, v = nodes
@@ -677,8 +685,8 @@ def _entries(s, i, path, kind):
         mine, other = (v.value, e["value"]) if v.dtype == vt else (_as_variant(v.value, v.dtype), _as_variant(e["value"], vt))
         return F.struct(F.when(k.ok, k.value).otherwise(e["key"]).alias("key"), F.when(k.ok, mine).otherwise(other).alias("value"))
 
-    cells = _Cells(F.map_entries(m), parts, rebuilt, (lambda nodes: ~nodes[0].ok | nodes[1].ok) if loose else None)
-    if _changes(ks) or _changes(vs) or i.variant or cells.types != [kt, vt]:
+    cells = _Cells(F.map_entries(m), i.opt, parts, rebuilt, (lambda nodes: ~nodes[0].ok | nodes[1].ok) if loose else None)
+    if not i.opt.quick and (_changes(ks) or _changes(vs) or i.variant or cells.types != [kt, vt]):
         # a key that comes again keeps its first place and its last value
         pairs = F.array(cells.values())
         last = lambda ps, k: F.element_at(F.filter(ps, lambda e: e["key"] == k), -1)["value"]
@@ -833,8 +841,13 @@ def _catch(s, i, path):
     return Node(F.when(good, n.value).otherwise(other), F.lit(True), none, F.lit(False), ~good if n.dirty is None else ~good | n.dirty, n.dtype)
 
 
+def _full(i: In) -> In:
+    """The same input, where what comes out is asked for."""
+    return In(i.x, i.dtype, replace(i.opt, quick=False), i.present) if i.opt.quick else i
+
+
 def _transform(s, i, path):
-    n = lower(s.args["inner"], i, path)
+    n = lower(s.args["inner"], _full(i), path)
     t = s.args["returns"]
     t = T._parse_datatype_string(t) if isinstance(t, str) else t or n.dtype
     return Node(F.when(n.ok, s.args["f"](n.value)), n.ok, n.issues, lambda: n.aborted | ~n.ok, n.ok, t)
@@ -846,7 +859,7 @@ def _preprocess(s, i, path):
 
 
 def _pipe(s, i, path):
-    a = lower(s.args["inner"], i, path)
+    a = lower(s.args["inner"], _full(i), path)
     b = lower(s.args["out"], In(a.value, a.dtype, i.opt), path)
     return Node(F.when(a.ok, b.value), a.ok & b.ok, lambda: F.when(a.ok, b.issues()).otherwise(a.issues()), lambda: a.aborted | ~a.ok | b.aborted, both(a.dirty, b.dirty), b.dtype)
 

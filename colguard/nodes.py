@@ -306,8 +306,9 @@ def preprocess(f, inner: Schema):
     return Schema("preprocess", {"f": f, "inner": inner})
 
 
-def codec(a: Schema, b: Schema, decode):
-    return a.transform(decode).pipe(b)
+def codec(a: Schema, b: Schema, decode, returns=None):
+    """decode: a's value to what b takes, of the type `returns`."""
+    return a.transform(decode, returns).pipe(b)
 
 
 def lazy(get: Callable[[], Schema]):
