@@ -121,6 +121,12 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 24 << 20):
     yield batch.take(pa.array(range(at, len(batch))))
 
 
+def release() -> None:
+    """Gives memory that Arrow and numpy are done with back to the system; else it stays with the Python worker."""
+    for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+        pool.release_unused()
+
+
 class Words:
     """The words of a batch of texts: `ids` index `uniq` (pyarrow strings); row r has ids[start[r]:start[r + 1]]."""
 

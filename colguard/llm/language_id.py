@@ -7,9 +7,10 @@ gram), discounts n1 / (n1 + 2 n2) for each order, and interpolated probabilities
 model is three sorted arrays for each order: gram hashes, their probabilities, and context weights. A document
 gets the language with the lowest cross-entropy for each character.
 
-Rejection: the rival gives each character its frequency over all languages, or one part of the alphabet if that is more. The margin is the rival's cross-entropy
-less the best language's. Documents whose margin is under a threshold are rejected; the threshold is the
-`quantile` of the margins of at most `calibrate` training documents (those with the smallest hashes), less `slack`.
+Rejection: the rival gives each character its frequency over all languages, or one part of the alphabet if that is more.
+The margin is the rival's cross-entropy less the best language's. Documents whose margin is under a threshold are
+rejected; the threshold is the `quantile` of the margins of all training documents, counted in steps of 1 / STEPS, less
+`slack`.
 
 Bounds: no gram is dropped. Up to `grams` different 4-grams over all languages, the model is one broadcast, 40 bytes
 a gram. With more, Spark counts the lower orders and what the discounts need over all grams, and the model is cut into
@@ -33,10 +34,12 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from colguard.llm.common import Words, mix64, slices
+from colguard.llm.common import Scratch, Words, mix64, release, slices
 
 ORDER = 4
+SLICE_BYTES, STEPS = 6 << 20, 1024
 _NOT_LETTER = re.compile(r"[\W\d_]+")
 
 
@@ -75,7 +78,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([lang] * len(k)), pa.array(k.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
     for whole in batches:
-        for b in slices(whole, "text"):
+        for b in slices(whole, "text", SLICE_BYTES):
             langs = b.column("lang")
             for lang in pc.unique(langs).to_pylist():
                 words = Words(b.column("text").filter(pc.equal(langs, lang)), lower=False)
@@ -87,6 +90,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sum(len(k) for k, _ in held.values()) > 1_000_000:
                 yield from rows()
                 held.clear()
+            release()
     yield from rows()
 
 
@@ -100,7 +104,6 @@ class Model:
         self.parts: list[tuple[range, list[Broadcast]]] = []
         both = _add_up(np.concatenate([k & np.uint64(0xFFFF) for k, _ in counts.values()]), np.concatenate([n for _, n in counts.values()])) if counts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         self._set_rival(*both)
-        self.threshold = -np.inf
 
     def _set_rival(self, chars: np.ndarray, n: np.ndarray) -> None:
         self.uniform = 1.0 / (len(chars) + 1)
@@ -287,68 +290,73 @@ def _held(spark: SparkSession, model: Model):
     return get
 
 
-def fit(docs: DataFrame, grams: int = 1 << 20, calibrate: int = 4096, quantile: float = 0.0005, slack: float = 0.5) -> Model:
+def fit(docs: DataFrame, grams: int = 1 << 20) -> Model:
     """Learns from the rows of docs (text, lang) that have both."""
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
-    counts = rows.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
+    counts = rows.mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).persist()
     try:
         total = counts.count()
-        model = Model(_by_lang(counts.toArrow())) if total <= grams else _in_parts(counts, total, grams)
+        return Model(_by_lang(counts.toArrow())) if total <= grams else _in_parts(counts, total, grams)
     finally:
         counts.unpersist()
-    h = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(5)), 11)
-    some = rows.where(h < int(min(1, 2 * calibrate / max(1, rows.count())) * (1 << 53)))  # about twice the sample, so that few texts are sorted
-    sample = some.select("text", h.alias("h")).orderBy("h").limit(calibrate).select("text")
-    margins = sample.mapInArrow(_margins(_held(docs.sparkSession, model)), "margin double").toArrow().column("margin").to_numpy()
-    margins = margins[np.isfinite(margins)]
-    if len(margins):
-        model.threshold = float(np.quantile(margins, quantile)) - slack
-    return model
 
 
-def _margins(held):
-    def run(batches):
-        model = held()
-        for b in batches:
-            yield pa.record_batch([pa.array(model.score(b.column("text"))[2])], names=["margin"])
-
-    return run
-
-
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, lang_pred, score, margin, rejected."""
+def scored(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with __lang, __score and __margin."""
     held = _held(docs.sparkSession, model)  # 40 bytes for each gram, in parts of fit's `grams`
 
     def run(batches):
         m = held()
         names = np.array([*m.langs, "und"], object)
         for whole in batches:
-            for b in slices(whole, "text"):
-                best, score, margin = m.score(b.column("text"))
-                no = (best < 0) | (margin < m.threshold)
-                yield pa.record_batch([b.column("doc_id"), pa.array(names[best].tolist(), pa.string()), pa.array(score), pa.array(np.maximum(margin, -1e9)), pa.array(no)], names=["doc_id", "lang_pred", "score", "margin", "rejected"])
+            for b in slices(whole, "text", SLICE_BYTES):
+                best, score, margin = m.score(b.column(b.schema.get_field_index("text")))
+                more = {"__lang": pa.array(names[best].tolist(), pa.string()), "__score": pa.array(score), "__margin": pa.array(np.maximum(margin, -1e9))}
+                yield pa.record_batch([*b.columns, *more.values()], names=[*b.schema.names, *more])
+                release()
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, margin double, rejected boolean")
+    out = T.StructType([*docs.schema, T.StructField("__lang", T.StringType()), T.StructField("__score", T.DoubleType()), T.StructField("__margin", T.DoubleType())])
+    return docs.mapInArrow(run, out)
 
 
-def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs that the model doesn't reject, all columns."""
-    held = _held(docs.sparkSession, model)
-    schema = docs.schema
+def threshold(margins: DataFrame, quantile: float = 0.0005, slack: float = 0.5) -> float:
+    """The quantile of the column __margin, in steps of 1 / STEPS, less slack; minus infinity without rows."""
+    step = F.floor(F.greatest(F.lit(-64.0), F.least(F.lit(64.0), F.col("__margin"))) * STEPS)
+    counts = sorted(margins.where("__margin > -1e9").groupBy(step.alias("step")).agg(F.count("*").alias("n")).collect())  # 128 * STEPS rows at most
+    rank, seen = quantile * (sum(n for _, n in counts) - 1), 0
+    for at, n in counts:
+        seen += n
+        if seen > rank:
+            return at / STEPS - slack
+    return -np.inf
+
+
+def identify(rows: DataFrame, least: float) -> DataFrame:
+    """doc_id, lang_pred, score, margin, rejected of scored() rows; a margin under `least` is rejected."""
+    return rows.select("doc_id", F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"), F.col("__margin").alias("margin"), _rejected(least).alias("rejected"))
+
+
+def _rejected(least: float) -> Column:
+    return (F.col("__lang") == "und") | (F.col("__margin") < F.lit(float(least)))
+
+
+def learnable(docs: DataFrame) -> Column:
+    return docs["text"].isNotNull() & docs["lang"].isNotNull()
 
-    def run(batches):
-        m = held()
-        for whole in batches:
-            for b in slices(whole, "text"):
-                best, _, margin = m.score(b.column(b.schema.get_field_index("text")))
-                yield b.filter(pa.array((best >= 0) & (margin >= m.threshold)))
 
-    return docs.mapInArrow(run, schema)
+def accepted(docs: DataFrame, model: Model, least: float | None = None) -> DataFrame:
+    """The rows of docs that are not rejected, all columns. Without `least`, docs are what the model has learnt from, and
+    their margins settle it."""
+    rows = Scratch(docs.sparkSession, "accepted").put(scored(docs, model), "scored")
+    least = threshold(rows.where(learnable(rows))) if least is None else least
+    return rows.where(~_rejected(least)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = fit(docs.where(training_rows(docs)))
-    out = identify(docs, model)
+    train = training_rows(docs) & learnable(docs)
+    model = fit(docs.where(train))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.coalesce(train, F.lit(False)).alias("learnt"))
+    rows = Scratch(spark, "lang").put(scored(rows, model).drop("text"), "scored")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
-    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "margin", "rejected")
+    return identify(rows, threshold(rows.where("learnt"))).select("doc_id", held.alias("held_out"), "lang_pred", "score", "margin", "rejected")

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colguard.llm.common import Scratch, Words, mix64, odd_constants, slices
+from colguard.llm.common import Scratch, Words, mix64, odd_constants, release, slices
 
 WINDOW, MASK, LEAST, MOST = 8, 0xFF, 64, 1024
 SLICE_BYTES, SEEN = 6 << 20, 100_000
@@ -206,8 +206,7 @@ def _stage(vocab: str, end: int, width: int):
                 if len(seen) > SEEN:
                     seen.clear()  # only saves bytes; the store itself drops what comes twice
                 yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(start)), pa.array(roots, pa.binary()), pa.array(lists, pa.list_(pa.binary())), pa.array(data, pa.list_(pa.binary()))], schema=_STAGED)
-                for pool in (pa.default_memory_pool(), pa.system_memory_pool()):  # else what a slice took stays with the worker
-                    pool.release_unused()
+                release()
 
     return run
 

@@ -330,21 +330,26 @@ def test_decontamination_places():
 def test_language_id(spark, docs):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(df.where(language_id.training_rows(df)))
-    out = {r["doc_id"]: r for r in got(language_id.identify(df, model))}
+    least = language_id.threshold(language_id.scored(df.where(language_id.training_rows(df)), model))
+    margins = sorted(r["__margin"] for r in got(language_id.scored(df.where(language_id.training_rows(df) & language_id.learnable(df)), model)) if r["__margin"] > -1e9)
+    assert 0 <= margins[int(0.0005 * (len(margins) - 1))] - (least + 0.5) < 1 / language_id.STEPS
+    identify = lambda d, m=model: language_id.identify(language_id.scored(d, m), least)
+    out = {r["doc_id"]: r for r in got(identify(df))}
     held = [r for r in df.where(~language_id.training_rows(df)).collect()]
     assert np.mean([out[r["doc_id"]]["lang_pred"] == r["lang"] for r in held]) >= 0.98
     assert np.mean([r["rejected"] for r in out.values()]) <= 0.005
-    odd_out = got(language_id.identify(odd(spark), model))
+    odd_out = got(identify(odd(spark)))
     for r, o in itertools.product(ODD, odd_out):
         if r[0] == o["doc_id"] and not any(c.isalpha() for c in r[1] or ""):
             assert (o["lang_pred"], o["score"], o["rejected"]) == ("und", 0, True)
     assert all(0 <= o["score"] <= 1 for o in odd_out) and len(odd_out) == len(ODD)
     strange = spark.createDataFrame([(1, "xqzj kvvw zzqx pfkq wwjx qqqz vkxj " * 5), (2, "текст на русском " * 5)], "doc_id long, text string")
-    assert all(r["rejected"] for r in got(language_id.identify(strange, model)))
+    assert all(r["rejected"] for r in got(identify(strange)))
     kept = language_id.accepted(odd(spark), model)
     assert kept.columns == odd(spark).columns and 2 not in {r["doc_id"] for r in kept.collect()}
     none = language_id.fit(odd(spark).limit(0))
-    assert {r["lang_pred"] for r in got(language_id.identify(odd(spark), none))} == {"und"}
+    assert {r["lang_pred"] for r in got(identify(odd(spark), none))} == {"und"}
+    assert language_id.threshold(language_id.scored(odd(spark).limit(0), model)) == -np.inf
 
 
 def test_language_model_is_a_distribution(spark):
@@ -367,8 +372,8 @@ def test_language_model_in_parts_keeps_every_gram(spark):
     c = rng.choice(chars, (4, 4000))
     grams = c[0] << np.uint64(48) | c[1] << np.uint64(32) | c[2] << np.uint64(16) | c[3]
     assert np.allclose(parts.log_probs(grams), whole.log_probs(grams), rtol=1e-12)
-    a, b = ({r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in got(language_id.identify(df, m))} for m in (whole, parts))
-    assert a == b and a[9_000_001] == ("rare", False)
+    a, b = ({r["doc_id"]: (r["__lang"], round(r["__margin"], 9)) for r in got(language_id.scored(df, m))} for m in (whole, parts))
+    assert a == b and a[9_000_001][0] == "rare"
 
 
 def test_marginals():
