@@ -634,6 +634,10 @@ def _tuple(s, i, path):
         fields.append(cells.values().alias("rest"))
         types.append(T.StructField("rest", T.ArrayType(cells.types[0])))
         dirty = both(dirty, cells.dirty())
+    if least < n:  # the slots that come out: those given, and those behind them that the schema fills
+        made = [F.when(k.value.isNotNull(), F.lit(j + 1)) for j, k in enumerate(kids) if j >= least and _shapes(k)]
+        fields.append((F.greatest(F.least(size, F.lit(n)), F.lit(0), *made) + (F.greatest(size - n, F.lit(0)) if rest is not None else 0)).alias("_length"))
+        types.append(T.StructField("_length", T.IntegerType()))
     small = lambda: F.array(issue("too_small", path, size_message("min", "array", n, True, False), maps=i.opt.maps, minimum=n, inclusive=True, exact=False, type="array"))
     big = lambda: F.when(size > n, F.array(issue("too_big", path, size_message("max", "array", n, True, False), maps=i.opt.maps, maximum=n, inclusive=True, exact=False, type="array"))).otherwise(none()) if rest is None else none()
     issues = lambda: F.when(~is_, F.array(wrong_type(path, "array", i.received(), i.opt.maps))).when(size < least, small()).otherwise(F.concat(big(), *[k.issues() for k in kids], tail()))

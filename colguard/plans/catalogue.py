@@ -241,6 +241,7 @@ _parsed("transform_udf_members", "events", z.array(_s().transform_udf(lambda s:
 
 NEST = z.object_({"v": _n().max(50).optional(), "kid": z.lazy(lambda: NEST).optional()})
 _parsed("recursive_json", "events", NEST, lambda: E("parse_json(concat(repeat('{\"kid\":', cast(event_id % 30 AS int)), '{\"v\":', value, '}', repeat('}', cast(event_id % 30 AS int))))"), ["event_id"], OK | PATHS, "SELECT event_id, value <= 50 AS success, CASE WHEN value <= 50 THEN '' ELSE repeat('kid.', event_id % 30) || 'v' END AS paths FROM events")
+_parsed("tuple_length", "embeddings", z.tuple_(_n(), _n().optional(), _n().default(7.0), _n().optional()), lambda: E("cast(slice(embedding, 1, cast(vec_id % 6 AS int)) AS array<double>)"), ["vec_id"], {"length": lambda: C("data._length"), "third": lambda: C("data._3")}, f"SELECT vec_id, CASE WHEN n IN (1, 2, 3) THEN 3 WHEN n = 4 THEN 4 END AS length, CASE WHEN n IN (1, 2) THEN 7.0 WHEN n IN (3, 4) THEN {_EMB}[3] END AS third FROM (SELECT vec_id, embedding, vec_id % 6 AS n FROM embeddings)")
 QUERIES["error_text"] = lambda spark, sf: (lambda df: compile(z.object_({"value": _n().max(100), "event_type": z.enum("click", "view")}), df).errors(df).select("event_id", "error"))(table(spark, sf, "events").select("event_id", "value", "event_type"))
 SQL["error_text"] = "SELECT event_id, nullif(array_to_string(list_filter([CASE WHEN value > 100 THEN '[too_big] value: Number must be less than or equal to 100' END, CASE WHEN event_type NOT IN ('click', 'view') THEN '[invalid_enum_value] event_type: Invalid enum value. Expected ''click'' | ''view'', received ''' || event_type || '''' END], lambda x: x IS NOT NULL), '; '), '') AS error FROM events"
 QUERIES["validate_v3"] = lambda spark, sf: (lambda df: compile(z.object_({"event_type": _s().upper()}), df, dialect="v3").validate(df).select("event_id", C("data.event_type").alias("event_type")))(table(spark, sf, "events").select("event_id", "event_type"))
