@@ -91,6 +91,13 @@ class Compiled:
         n = self.node()
         return {"value": str(n.value), "ok": str(n.ok), "dirty": str(n.dirty), "issues": str(n.issues())}
 
+    def code(self, df: DataFrame) -> dict[str, str]:
+        """The SQL text of the columns over df, as Spark has resolved them."""
+        n = self.node()
+        made = {"value": n.value, "ok": n.ok, "issues": n.issues()} | ({} if n.dirty is None else {"dirty": n.dirty})
+        found = df.select(*[c.alias(k) for k, c in made.items()])._jdf.queryExecution().analyzed().expressions()
+        return {k: found.apply(j).child().sql() for j, k in enumerate(made)}
+
     safe_parse_async, parse_async = safe_parse, parse
 
 

@@ -124,7 +124,7 @@ def _format(x: Column, name: str, args: dict) -> Column:
     if name == "datetime":
         return match(regexes.datetime(args.get("precision"), args.get("offset", False), args.get("local", False)))
     if name == "url":
-        return match(r"^[A-Za-z][A-Za-z0-9+.-]*:") & F.try_parse_url(x, F.lit("PROTOCOL")).isNotNull()
+        return F.regexp_replace(x, regexes.URL_ENDS, "").rlike(regexes.url())
     if name == "jwt":
         head = F.split(x, r"\.")[0]
         head = F.rpad(F.translate(head, "-_", "+/"), (F.ceil(F.length(head) / 4) * 4).cast("int"), F.lit("="))
@@ -741,6 +741,14 @@ def _xor(s, i, path):
     return Node(F.when(ok, value), ok, lambda: F.when(ok, none()).otherwise(F.array(issue("invalid_union", path, "Invalid input", maps=i.opt.maps, matches=n))), ~ok, reduce(both, [None if o.dirty is None else o.ok & o.dirty for o in opts], None), t)
 
 
+def tag_values(option: Schema, tag: str) -> tuple:
+    """The values by which a discriminated union tells this option: a literal or an enum in an object."""
+    field = resolved(option).args["shape"].get(tag) if resolved(option).kind == "object" else None
+    if field is None or field.kind not in ("literal", "enum", "native_enum"):
+        raise UnsupportedInSpark(f"an option of a discriminated union needs an object with a literal or an enum in {tag!r}, not {option.kind!r}")
+    return field.args["values"]
+
+
 def _discriminated(s, i, path):
     tag, opts = s.args["tag"], s.args["options"]
     if i.variant:
@@ -753,7 +761,7 @@ def _discriminated(s, i, path):
     claimed: list = []
     hits, nodes = [], []
     for o in opts:
-        vs = o.args["shape"][tag].args["values"]
+        vs = tag_values(o, tag)
         if set(vs) & set(claimed):
             raise ValueError(f"a value of {tag!r} is claimed twice")
         claimed += vs

@@ -37,6 +37,28 @@ FORMATS = {
 }
 
 
+def url() -> str:
+    """What a URL parser of the web takes, for a text without the blanks around it (domains are not checked as IDNA): of the
+    special schemes, which need a host, http, https, ws, wss, ftp; files, whose host may be empty; and all others."""
+    port = r"(?::0*(?:[0-9]{0,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5]))?"
+    six, char = rf"\[{_V6}\]", r"(?:[^\x00-\x20#/<>?@\[\\\]^|:%\x7F]|%(?!(?:[01][0-9a-fA-F]|2[0357fF]|3[aAcCeEfF]|40|5[bBcCdDeE]|7[cCfF]))[0-9a-fA-F]{2})"
+    number = r"(?:[0-9]+|0[xX][0-9a-fA-F]*)"
+    byte = r"(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])|0[xX]0*[0-9a-fA-F]{0,2})"
+    end, end_special = r"(?=[/?#]|\z)", r"(?=[/\\?#]|\z)"
+    # a host whose last part is a number is an IPv4 address
+    four = rf"(?:{byte}\.){{3}}{byte}\.?|(?:{byte}\.){{0,2}}{number}\.?"
+    host = rf"(?:{six}|(?!(?:{char}+\.)?{number}\.?(?=[:/\\?#]|\z)){char}+|(?:{four})(?=[:/\\?#]|\z))"
+    special = rf"(?i:https?|wss?|ftp):[/\\]*(?:[^/\\?#]*@)?{host}{port}{end_special}"
+    file = rf"(?i:file):(?:[/\\]{{2}}(?:{six}|{char}*){end_special}|(?![/\\]{{2}}))"
+    opaque = r"[^\x00\t\n\r #/:<>?@\[\\\]^|]*"
+    other = rf"(?!(?i:https?|wss?|ftp|file):)[a-zA-Z][a-zA-Z0-9+.-]*:(?://(?:(?:[^/?#]*@)?(?:{six}|{opaque}){port}){end}|(?!//))"
+    return rf"^(?:{special}|{file}|{other})"
+
+
+#: What a URL parser takes away first: control characters and blanks at both ends, tabs and line ends everywhere
+URL_ENDS = r"^[\x00-\x20]+|[\x00-\x20]+\z|[\t\n\r]"
+
+
 @cache
 def emoji() -> str:
     """Characters with the properties Extended_Pictographic or Emoji_Component, as ranges: Java 17 lacks the properties."""

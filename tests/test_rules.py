@@ -101,3 +101,41 @@ def test_verdicts_are_made_once(spark):
     schema = z.object_({"value": z.number().min(5).max(7), "event_type": z.string().default("x")})
     plan = compile(schema, df).safe_parse(df)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Project") >= 2 and plan.count("<= 7.0") <= 3
+
+
+URLS = ["https://example.com/a?b#c", "mailto:a@b.c", "http:example.com", "HTTP://EXAMPLE.com:80", "foo:bar baz", "http://[::1]:3000/", "file:///x", "file:x", "http://a_b.c", "http://1.2.3", "javascript:alert(1)", "http://user:pa@ss@h/", " http://x.y ", "http://ex\tample.com", "http:\\\\x.y\\z", "http://0x7f.1/", "foo://", "foo://h:1/", "http://xn--a.b/%20", "http://é.fr", "ws://h?q", "http://h:/", "http://1.2.3.com"]
+NO_URLS = ["foo bar", "example.com", "http://", "http:///", "http://a b.c", "http://h:65536", "http://h:x", "http://1.2.3.256", "http://[::1", "https://?q", "//x.y", "http://a<b", "1http://x", "http://%", "http://a%20b", "", ":", "foo://a b", "foo://h:99999/", "http://1.2.3.4.5", "http://[1.2.3.4]", "http://a^b"]
+
+
+def test_urls(spark):
+    df = spark.createDataFrame([(v, True) for v in URLS] + [(v, False) for v in NO_URLS], "v string, want boolean")
+    wrong = [ascii(r["v"]) for r in compile(z.string().url(), df, "v").safe_parse(df).collect() if r["success"] != r["want"]]
+    wrong += [ascii(r["v"]) for r in df.collect() if bool(_compiled(regexes.url()).search(_compiled(regexes.URL_ENDS).sub("", r["v"]))) != r["want"]]
+    assert not wrong
+
+
+def test_options_need_a_tag(spark):
+    df = spark.createDataFrame([(("a",),)], "v struct<t:string>")
+    for option in (z.string(), z.object_({"t": z.string()}), z.xor(z.object_({"t": z.literal("a")}), z.object_({"t": z.literal("b")}))):
+        with pytest.raises(UnsupportedInSpark):
+            compile(z.discriminated_union("t", option), df, "v").validate(df)
+    with pytest.raises(ValueError, match="claimed twice"):
+        compile(z.discriminated_union("t", z.object_({"t": z.literal("a")}), z.object_({"t": z.enum("a", "b")})), df, "v").validate(df)
+
+
+def test_a_callback_that_fails_fails_the_job(spark):
+    def bad(s):
+        raise KeyError("callback")
+
+    df = spark.createDataFrame([(["a"],)], "v array<string>")
+    with pytest.raises(Exception, match="callback"):
+        compile(z.array(z.string().refine_udf(bad)), df, "v").safe_parse(df).collect()
+
+
+def test_code_is_sql(spark):
+    """The text of ok gives the same verdicts when Spark reads it as SQL."""
+    df = spark.createDataFrame([("abc", 1.0), ("a", 5.0), (None, 2.0)], "s string, n double")
+    done = compile(z.object_({"s": z.string().min(2), "n": z.number().max(3)}), df)
+    text = done.code(df)
+    assert set(text) >= {"value", "ok", "issues"}
+    assert [r[0] for r in df.selectExpr(f"coalesce({text['ok']}, false)").collect()] == [r["success"] for r in done.safe_parse(df).collect()] == [True, False, False]
