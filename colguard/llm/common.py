@@ -33,12 +33,24 @@ def checkpoint_root(spark: SparkSession) -> str:
     return "file://" + _OWN["dir"]
 
 
+_MADE: list[str] = []
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Deletes every scratch folder that this process has made; results that still read from one are lost."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _MADE:
+        p = jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        p.getFileSystem(conf).delete(p, True)
+
+
 class Scratch:
     """Tables written to the shared checkpoint folder; they cut lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+        _MADE.append(self.root)
         self.made = 0
 
     def path(self, name: str) -> str:

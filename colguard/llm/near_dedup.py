@@ -31,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from colguard.llm.common import Scratch, Words, hash_words, hot_keys, mix64, odd_constants, salted_join, slices
+from colguard.llm.common import Scratch, Words, hash_words, hot_keys, mix64, odd_constants, release, salted_join, slices
 
-SHINGLE, BUCKET_BITS, MANTISSA, BANDS, BLOCK, BLOCK_BYTES = 5, 7, 10, 32, 256, 16 << 20
+SHINGLE, BUCKET_BITS, MANTISSA, BANDS, BLOCK, BLOCK_BYTES, SLICE_BYTES = 5, 7, 10, 32, 256, 16 << 20, 8 << 20
 REGISTERS = 1 << BUCKET_BITS
 ROWS = REGISTERS // BANDS
 _REST = 64 - BUCKET_BITS
@@ -108,7 +108,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in slices(whole, "text"):
+        for b in slices(whole, "text", SLICE_BYTES):
             h, off = shingle_sets(b.column("text"))
             reg = registers(h, off)
             keys, sigs = [], []
@@ -116,13 +116,15 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 keys.append(hashlib.blake2b(h[s:e].tobytes(), digest_size=16).digest() if e > s else None)
                 sigs.append(reg[r].tobytes() if e > s else None)
             yield pa.record_batch([b.column("doc_id"), pa.array(np.diff(off)), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "key", "sig"])
+            release()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for b in slices(whole, "text"):
+        for b in slices(whole, "text", SLICE_BYTES):
             h, off = shingle_sets(b.column("text"))
             yield pa.record_batch([b.column("doc_id"), pa.array([h[s:e].tobytes() for s, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())], names=["doc_id", "hashes"])
+            release()
 
 
 def _linked(a: bytes, b: bytes, percent: int) -> bool:

@@ -7,8 +7,8 @@ backward over all lines). Lines start with their document's label; then lines of
 fit finds good become good, the worst line of each excepted. A document's good share is the mean of its lines' marginals, weighted by length; a
 logistic curve fitted on the same documents makes it a probability.
 
-Bound: at most `sample` labelled documents with text are used to fit, those with the smallest hashes of doc_id and
-text; of them each whole text. Scoring covers every document and every line.
+Bound: at most `sample` labelled documents are used to fit, those with the smallest hashes of doc_id and text, and of
+them as many as hold `sample_bytes` of text; of each its whole text. Scoring covers every document and every line.
 
 Cases: a null, empty or blank text has one empty line and is scored like any other; repeated rows get equal
 scores; without labelled rows, or with one label only, every document gets that label's share (0.5 if none).
@@ -195,13 +195,19 @@ def train(texts: pa.Array, labels: np.ndarray, steps: int = 120, decay: float =
     return field
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 3000, sample_bytes: int = 64 << 20) -> Field:
     """docs (doc_id, text), labels (doc_id, quality); both already without held-out rows."""
     named = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where("doc_id IS NOT NULL AND quality IN (0, 1)")
     # the smallest hashes first, on ids alone, so that texts are read for `sample` rows only
     picked = named.orderBy(F.xxhash64(F.col("doc_id"), F.lit(3)), "quality").limit(sample)
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")  # `sample` rows at most
-    got = rows.orderBy(F.xxhash64("doc_id", "text", "quality")).limit(sample).select("text", "quality").toArrow()
+    rows = rows.select("quality", "text", F.octet_length("text").alias("size"), F.xxhash64("doc_id", "text", "quality").alias("h"))
+    least = rows.orderBy("h").limit(sample).select("h", "size").toArrow().sort_by("h")  # no texts yet
+    fits = np.cumsum(np.asarray(pc.fill_null(least.column("size"), 0), np.int64)) <= sample_bytes
+    if not fits.any():
+        return train(pa.array([], pa.string()), np.zeros(0, np.int64))
+    last = int(least.column("h").to_numpy()[np.flatnonzero(~fits)[0] - 1 if not fits.all() else -1])
+    got = rows.where(F.col("h") <= last).orderBy("h").limit(sample).select("text", "quality").toArrow()
     return train(got.column("text").combine_chunks(), got.column("quality").to_numpy())
 
 

@@ -25,8 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colguard.llm.common import slices
+
 #: The kinds in the order they are listed, and the keywords that lead to each.
 BASE = ["assign", "access", "hex"]
+SLICE_BYTES = 8 << 20
 KINDS = [*BASE, "github", "npm", "card", "iban"]
 KEYWORDS = {
     "password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign",
@@ -113,7 +116,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner()
-        for b in batches:
+        for b in (part for whole in batches for part in slices(whole, "text", SLICE_BYTES)):
             rows = []
             for text in b.column("text").to_pylist():
                 found = scanner.spans(text) if text else []

@@ -60,7 +60,7 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = 4) -> DataFrame:
         hosting = F.collect_list(F.when(F.col("k") <= F.col("hosts"), F.col("label"))).over(Window.partitionBy("g"))  # at most `shards` labels
         wants = ranked.withColumn("hosting", hosting)
         wants = wants.select("g", "label", F.when(F.col("k") <= F.col("hosts"), F.col("label")).otherwise(F.get("hosting", F.pmod(F.xxhash64("g", "label"), F.size("hosting")).cast("int"))).alias("to"))
-        asked = scratch.put(cells.join(wants, ["g", "label"]), f"asked{r}")
+        asked = scratch.put(cells.join(wants.hint("merge"), ["g", "label"]), f"asked{r}")
         sums = asked.groupBy("label", "to").agg(F.sum("c").alias("c")).collect()  # shards * shards rows at most
         load, wish = [0] * shards, {}
         for x in sums:
@@ -90,7 +90,9 @@ def assign(docs: DataFrame, shards: int = 40, rounds: int = 4) -> DataFrame:
     for s in range(shards - 2, -1, -1):
         alone = F.when(u < steps[s], F.lit(s)).otherwise(alone)
     named = cells.select(F.col("g").alias("__g"), F.col("home").alias("__home"), "label")
-    rows = base.join(named, (base["g"] == named["__g"]) & (base["home"] == named["__home"]), "left").drop("__g", "__home", "home")
+    linked = base.where("g IS NOT NULL")  # a group lies in up to `shards` cells, so no key holds all of it
+    linked = linked.join(named.hint("merge"), (linked["g"] == named["__g"]) & (linked["home"] == named["__home"]), "left").drop("__g", "__home", "home")
+    rows = linked.unionByName(base.where("g IS NULL").drop("home").withColumn("label", F.lit(None).cast("int")))
     zone = F.when(F.col("label").isNotNull(), 1).otherwise(F.pmod(F.xxhash64(F.col("doc_id"), F.lit(13)), F.lit(2)) * 2)  # free documents at both ends
     rows = rows.withColumn("at", F.coalesce(F.col("label"), alone)).withColumn("zone", zone.cast("int"))
     placed = running(scratch, rows, [F.col("at"), F.col("zone"), F.col("g"), F.col("doc_id")], {"rank": F.lit(1).cast("long")})

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from colguard.llm.common import Scratch, Words, mix64, odd_constants, release, slices
+from colguard.llm.common import Scratch, Words, hot_keys, mix64, odd_constants, release, salted_join, slices
 
 WINDOW, MASK, LEAST, MOST = 8, 0xFF, 64, 1024
 SLICE_BYTES, SEEN = 6 << 20, 100_000
@@ -231,7 +231,10 @@ def write_store(docs: DataFrame, path: str, vocab: str, end: int = 2, width: int
         for b in batches:
             yield pa.record_batch([b.column("part"), b.column("n_docs"), b.column("n_tokens"), pa.array([merkle(x) for x in b.column("roots").to_pylist()], pa.binary()), pa.array([width] * len(b), pa.int32())], schema=out)
 
-    manifest.mapInArrow(rooted, "part int, n_docs long, n_tokens long, root binary, width int").coalesce(1).write.parquet(f"{path}/manifest")
+    # made in many tasks; only then one row for each recipe file comes together in one
+    made = scratch.put(manifest.mapInArrow(rooted, "part int, n_docs long, n_tokens long, root binary, width int"), "manifest")
+    made.coalesce(1).write.parquet(f"{path}/manifest")
+    scratch.drop(made)
 
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
@@ -244,8 +247,13 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """doc_id and ids (array of int): every document put together from its recipe."""
-    refs = read_recipes(spark, path).withColumn("row", F.monotonically_increasing_id()).select("doc_id", "row", F.posexplode("digests").alias("pos", "digest"))
-    held = refs.join(read_chunks(spark, path), "digest").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.transform(F.array_sort(F.collect_list(F.struct("pos", "payload"))), lambda x: x["payload"]).alias("parts"))
+    recipes = read_recipes(spark, path)
+    each = recipes.groupBy("root").agg(F.first("digests").alias("digests"), F.count("*").alias("copies"))  # equal texts are put together once
+    refs = each.select("root", F.posexplode("digests").alias("pos", "digest"))
+    total = each.select(F.sum(F.size("digests"))).head()[0] or 0
+    often = hot_keys(refs.groupBy("digest").agg(F.count("*").alias("c")), "digest", "c", total)
+    parts = salted_join(refs, read_chunks(spark, path), "digest", often, ["root"]).groupBy("root").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "payload"))), lambda x: x["payload"]).alias("parts"))
+    held = salted_join(recipes.select("doc_id", "root"), parts, "root", hot_keys(each, "root", "copies", recipes.count()), ["doc_id"])
     kind = {2: "<u2", 4: "<u4"}[width]
 
     def join(batches):
@@ -329,15 +337,17 @@ def verified_documents(spark: SparkSession, path: str, scratch: Scratch) -> Data
 
     recipes = read_recipes(spark, path)
     stored = read_chunks(spark, path).mapInArrow(digests, "digest binary, crc long, n long")
-    refs = recipes.groupBy("root").agg(F.first("digests").alias("digests")).select("root", F.posexplode("digests").alias("pos", "digest"))
-    parts = refs.join(stored, "digest", "left").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("pos", "digest", F.expr("coalesce(crc, raise_error('a chunk is missing')) AS crc"), "n"))).alias("parts"))
+    each = scratch.put(recipes.groupBy("root").agg(F.first("digests").alias("digests"), F.count("*").alias("copies")), "each")
+    refs = each.select("root", F.posexplode("digests").alias("pos", "digest"))
+    often = hot_keys(refs.groupBy("digest").agg(F.count("*").alias("c")), "digest", "c", each.select(F.sum(F.size("digests"))).head()[0] or 0)
+    parts = salted_join(refs, stored, "digest", scratch.put(often, "often"), ["root"], "left").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("pos", "digest", F.expr("coalesce(crc, raise_error('a chunk is missing')) AS crc"), "n"))).alias("parts"))
     roots = scratch.put(parts.mapInArrow(whole, "root binary, crc long, n long"), "roots")
     rows = recipes.select("doc_id", "n_tokens", "root", "part")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.groupBy("part").agg(F.sum("n_tokens").alias("t")).select("part", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "root").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.join(F.broadcast(starts), "part").withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))  # a row for each recipe file
-    out = placed.join(roots, "root")
+    out = salted_join(placed, roots, "root", scratch.put(hot_keys(each, "root", "copies", recipes.count()), "copies"), ["doc_id", "start"])
     n = F.when(F.col("n") == F.col("n_tokens"), F.col("n")).otherwise(F.raise_error(F.lit("a recipe has another number of ids than its chunks")).cast("long"))
     return out.select("doc_id", "start", n.alias("n_tokens"), F.col("crc").alias("ids_crc32"))
 
