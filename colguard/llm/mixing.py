@@ -64,12 +64,12 @@ def targets(sizes: DataFrame, scratch: Scratch, most: int = 3) -> DataFrame:
     w = running(scratch, sizes, named, {"before": F.lit(1).cast("long")}).withColumn("weight", F.col("before") % 3 + 1).drop("before")
     w = w.withColumn("cap", F.col("source_size") * most).withColumn("level", F.col("cap") / F.col("weight"))
     w = scratch.put(running(scratch, w, [F.col("level"), *named], {"k": F.lit(1).cast("long"), "under": F.col("cap"), "lighter": F.col("weight")}), "levels")
-    total = F.broadcast(w.agg(F.sum("source_size").alias("total"), F.sum("weight").alias("weights")))  # one row
-    w = w.join(total).withColumn("factor", (F.col("total") - F.col("under")) / (F.col("weights") - F.col("lighter")))
+    total, weights = w.agg(F.sum("source_size"), F.sum("weight")).head()
+    w = w.withColumn("factor", (F.lit(total or 0) - F.col("under")) / (F.lit(weights or 0) - F.col("lighter")))
     # the first source, by level, that stays under its cap says how high the water stands
-    first = w.where(F.col("factor") <= F.col("level")).agg(F.min(F.struct("k", "factor")).alias("first"))
-    w = w.drop("factor").join(F.broadcast(first))
-    w = w.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("first.factor"), F.lit(0.0)) * F.col("weight")))
+    first = w.where(F.col("factor") <= F.col("level")).agg(F.min(F.struct("k", "factor")).alias("f")).select("f.factor").head()[0]
+    w = w.withColumn("factor", F.lit(first).cast("double"))
+    w = w.withColumn("target", F.least(F.col("cap").cast("double"), F.coalesce(F.col("factor"), F.lit(0.0)) * F.col("weight")))
     w = w.withColumn("copies", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     return w.select("source", "source_size", "target", "copies", (F.col("target") - F.col("copies") * F.col("source_size")).alias("rest"))
 
