@@ -12,7 +12,7 @@ fixed size in words, and a document's share over many seeds is about its p.
 
 The order is never sorted as a whole: sums over BINS equal steps of the rank find each source's bin with the edge, that
 bin is cut into BINS again, until no source has more than LIMIT documents in its bin; only those are put in order.
-Tables with a row for each source are made by aggregation and by range-partitioned running sums.
+Tables with a row for each source are made by aggregation and by running sums, range-partitioned above SOURCES rows.
 
 Cases: a null or empty text has size 0 and is never taken; documents equal in doc_id and text are numbered, and each
 number draws on its own; a null source is a source of its own; an empty table gives an empty result; very long texts
@@ -29,6 +29,8 @@ from colguard.llm.common import WORD, Scratch, running
 BINS, LIMIT = 1024, 100_000
 #: Repeated keys that are broadcast; above that they are joined by merge
 BROADCAST = 500_000
+#: Sources whose sums one task makes
+SOURCES = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -58,12 +60,22 @@ def _rank(g: Column, dice: Column, factor: Column, certain: Column) -> Column:
     return F.when(p < 1, F.when(q < 1e300, q / (1 + q)).otherwise(1.0))
 
 
+def _sums_before(scratch: Scratch, df: DataFrame, few: bool, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Sums over the rows before each: in one task for at most SOURCES rows, else by ranges in many."""
+    if not few:
+        return running(scratch, df, order, sums)
+    before = Window.orderBy(*[c.asc_nulls_first() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    return df.select("*", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(k) for k, c in sums.items()])
+
+
 def targets(sizes: DataFrame, scratch: Scratch, most: int = 3) -> DataFrame:
     """sizes (source, source_size) -> with target, copies (whole copies of every document) and rest (words)."""
     named = [F.col("source").isNull(), F.col("source")]
-    w = running(scratch, sizes, named, {"before": F.lit(1).cast("long")}).withColumn("weight", F.col("before") % 3 + 1).drop("before")
+    sizes = scratch.put(sizes, "source_sizes")
+    few = sizes.count() <= SOURCES
+    w = _sums_before(scratch, sizes, few, named, {"before": F.lit(1).cast("long")}).withColumn("weight", F.col("before") % 3 + 1).drop("before")
     w = w.withColumn("cap", F.col("source_size") * most).withColumn("level", F.col("cap") / F.col("weight"))
-    w = scratch.put(running(scratch, w, [F.col("level"), *named], {"k": F.lit(1).cast("long"), "under": F.col("cap"), "lighter": F.col("weight")}), "levels")
+    w = scratch.put(_sums_before(scratch, w, few, [F.col("level"), *named], {"k": F.lit(1).cast("long"), "under": F.col("cap"), "lighter": F.col("weight")}), "levels")
     total, weights = w.agg(F.sum("source_size"), F.sum("weight")).head()
     w = w.withColumn("factor", (F.lit(total or 0) - F.col("under")) / (F.lit(weights or 0) - F.col("lighter")))
     # the first source, by level, that stays under its cap says how high the water stands

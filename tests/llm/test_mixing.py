@@ -83,8 +83,10 @@ def test_repeated_rows_are_numbered(spark, monkeypatch, bound):
     assert mixing.mixed_documents(df).columns == df.columns
 
 
-def test_many_sources(spark):
+@pytest.mark.parametrize("few", [0, 100_000])
+def test_many_sources(spark, monkeypatch, few):
     """3,000 sources: weights and water level as in one pass over a sorted list."""
+    monkeypatch.setattr(mixing, "SOURCES", few)
     n = 3000
     sizes = spark.range(n).select(F.concat(F.lit("h"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("source"), (F.col("id") * 7919 % 101).alias("source_size")).union(spark.sql("SELECT NULL, 13L"))
     got = {r["source"]: r["target"] for r in mixing.targets(sizes, Scratch(spark, "t")).collect()}
