@@ -92,14 +92,14 @@ def running(scratch: Scratch, df: DataFrame, order: list[Column], sums: dict[str
     return out.drop("__part", *held, *keys, *[f"{k}b" for k in held])
 
 
-#: At most so many keys count as hot
-HOT_KEYS = 100_000
+#: At most so many keys count as hot, and none with fewer rows
+HOT_KEYS, HOT_ROWS = 100_000, 1000
 
 
 def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """__hot, __parts: the keys that more than max(1000, total / HOT_KEYS) of `total` rows share, so HOT_KEYS at most,
+    """__hot, __parts: the keys that more than max(HOT_ROWS, total / HOT_KEYS) of `total` rows share, so HOT_KEYS at most,
     and into how many parts their rows are to be dealt."""
-    most = max(1000, total // HOT_KEYS)
+    most = max(HOT_ROWS, total // HOT_KEYS)
     return counts.where(F.col(n) > most).select(F.col(key).alias("__hot"), F.ceil(F.col(n) / most).cast("int").alias("__parts"))
 
 

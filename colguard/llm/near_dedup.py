@@ -47,8 +47,8 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = np.diff(words.start)
     with np.errstate(over="ignore"):
         h = np.zeros(len(w), np.uint64)
-        for j in range(SHINGLE):
-            h[: len(w) - j or None] += w[j:] * mul[j]
+        for j in range(min(SHINGLE, len(w))):
+            h[: len(w) - j] += w[j:] * mul[j]
         h = mix64(h)
         parts, out = [], [0]
         for s, k in zip(words.start[:-1].tolist(), n.tolist(), strict=True):
@@ -251,10 +251,10 @@ def groups(docs: DataFrame, percent: int = 75) -> DataFrame:
     more = scratch.put(more.distinct(), "more")
     final = scratch.put(components(found.select(F.col("node").alias("a"), F.col("label").alias("b")).union(more), scratch, "last"), "components")
     by_key = nodes.join(final.hint("merge"), "node", "left").select("key", F.coalesce("label", "node").alias("component"))
-    empty = signed.where("key IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))  # linked with nothing
+    alone = signed.where("key IS NULL OR doc_id IS NULL").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))  # linked with nothing
     copies = scratch.put(hot_keys(nodes, "key", "copies", signed.count()), "copies")
-    out = salted_join(signed.where("key IS NOT NULL"), by_key, "key", copies, ["doc_id"], "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).union(empty)
+    out = salted_join(signed.where("key IS NOT NULL AND doc_id IS NOT NULL"), by_key, "key", copies, ["doc_id"], "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")).union(alone)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

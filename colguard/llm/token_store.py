@@ -143,7 +143,7 @@ def cut(ids: np.ndarray, start: np.ndarray) -> list[list[int]]:
     g = mix64(ids)
     h = np.zeros(len(ids), np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(WINDOW):
+        for j in range(min(WINDOW, len(ids))):
             h[j:] += g[: len(g) - j] * mul[j]
     marks = np.flatnonzero((h >> np.uint64(24)) & np.uint64(MASK) == MASK) + 1
     lo, hi = np.searchsorted(marks, start[:-1]), np.searchsorted(marks, start[1:], side="right")
