@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from colguard.llm.common import Scratch, Words, hot_keys, mix64, odd_constants, release, salted_join, slices
 
 WINDOW, MASK, LEAST, MOST = 8, 0xFF, 64, 1024
-SLICE_BYTES, SEEN = 6 << 20, 100_000
+SLICE_BYTES, SEEN = 10 << 20, 100_000
 _CACHE: dict = {}
 
 
